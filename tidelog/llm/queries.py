@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_rules
+from . import chat, mixing, packing, quality_fm, quality_rules, simhash
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -20,6 +20,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_fm.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = quality_fm.add_score(docs.select("doc_id", "text"), model, "score")
+    return scored.select("doc_id", quality_fm.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = quality_rules.ledger(_table(spark, sf_dir, "documents"))
     base = quality_rules.apply_policy(quality_rules.apply_policy(led, "v1"), "base", "_base")
@@ -36,8 +48,16 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_quality_rules, op6_source_mixing, op7_best_fit_packing)
+    f.__name__: f
+    for f in (
+        op1_simhash_dedup, op4_quality_classifier, op5_quality_rules, op6_source_mixing,
+        op7_best_fit_packing, op10_chat_formatting,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -77,4 +97,21 @@ b AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits
 FROM b""",
+    "op10_chat_formatting": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS pos,
+         count(*) OVER (PARTITION BY conv_id) AS n
+  FROM conversations),
+h AS (
+  SELECT *, string_agg(md5(md5(role) || md5(text)), '') OVER (
+           PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS prefix
+  FROM t),
+ends AS (SELECT prefix, min(conv_id) AS conv_id FROM h WHERE pos = n GROUP BY prefix),
+kept AS (SELECT conv_id FROM ends WHERE prefix NOT IN (SELECT prefix FROM h WHERE pos < n))
+SELECT conv_id, CAST(floor(turn / 256) AS BIGINT) AS part, count(*) AS n_turns,
+       string_agg('<|im_start|>' || regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g') || chr(10)
+         || regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS rendered
+FROM t WHERE conv_id IN (SELECT conv_id FROM kept)
+GROUP BY conv_id, floor(turn / 256)""",
 }
