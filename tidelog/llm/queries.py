@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality_fm, quality_rules, simhash
+from . import chat, hnsw, mixing, packing, quality_fm, quality_rules, simhash
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -25,6 +25,11 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return hnsw.search(hnsw.build_index(rows), rows.filter("vec_id % 20 = 0"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality_fm.fit(docs, _table(spark, sf_dir, "labels"))
@@ -55,7 +60,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_simhash_dedup, op4_quality_classifier, op5_quality_rules, op6_source_mixing,
+        op1_simhash_dedup, op2_nearest_neighbours, op4_quality_classifier, op5_quality_rules, op6_source_mixing,
         op7_best_fit_packing, op10_chat_formatting,
     )
 }
