@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, hnsw, mixing, packing, quality_fm, quality_rules, simhash
+from . import chat, hnsw, mixing, packing, quality_fm, quality_rules, simhash, suffix_dedup
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -53,6 +53,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffix_dedup.remove_repeats(docs, length=50, with_text=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(_table(spark, sf_dir, "conversations"))
 
@@ -61,7 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_dedup, op2_nearest_neighbours, op4_quality_classifier, op5_quality_rules, op6_source_mixing,
-        op7_best_fit_packing, op10_chat_formatting,
+        op7_best_fit_packing, op8_suffix_dedup, op10_chat_formatting,
     )
 }
 
@@ -119,4 +125,24 @@ SELECT conv_id, CAST(floor(turn / 256) AS BIGINT) AS part, count(*) AS n_turns,
          || regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS rendered
 FROM t WHERE conv_id IN (SELECT conv_id FROM kept)
 GROUP BY conv_id, floor(turn / 256)""",
+    "op8_suffix_dedup": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h,
+         CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n
+  FROM documents),
+w AS (SELECT r, doc_id, h, unnest(range(0, n - 49)) AS p FROM d WHERE n >= 50),
+s AS (SELECT r, doc_id, p, substr(h, 2 * p + 1, 100) AS x FROM w),
+m AS (SELECT x, min(doc_id) AS k FROM s GROUP BY x),
+g AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS q FROM s JOIN m USING (x) WHERE k < doc_id),
+i AS (SELECT r, p, sum(CASE WHEN q IS NULL OR p > q + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS k FROM g),
+spans AS (SELECT r, k, min(p) AS a, max(p) + 50 AS b FROM i GROUP BY r, k),
+e AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS f FROM spans),
+z AS (
+  SELECT r, sum(b - a) AS removed, count(*) AS spans, max(b) AS last,
+         string_agg(substr(h, 2 * f + 1, 2 * (a - f)), '' ORDER BY a) AS front
+  FROM e JOIN d USING (r) GROUP BY r)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN z USING (r)""",
 }
