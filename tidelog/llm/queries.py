@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, hnsw, mixing, packing, quality_fm, quality_rules, simhash, suffix_dedup
+from . import chat, hnsw, lm_score, mixing, packing, quality_fm, quality_rules, simhash, suffix_dedup
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -59,6 +59,10 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(_table(spark, sf_dir, "conversations"))
 
@@ -67,7 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_dedup, op2_nearest_neighbours, op4_quality_classifier, op5_quality_rules, op6_source_mixing,
-        op7_best_fit_packing, op8_suffix_dedup, op10_chat_formatting,
+        op7_best_fit_packing, op8_suffix_dedup, op9_lm_score, op10_chat_formatting,
     )
 }
 
