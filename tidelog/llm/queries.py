@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, hnsw, lm_score, mixing, packing, quality_fm, quality_rules, simhash, suffix_dedup
+from . import chat, hnsw, html_extract, lm_score, mixing, packing, quality_fm, quality_rules, simhash, suffix_dedup
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -30,6 +30,10 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.search(hnsw.build_index(rows), rows.filter("vec_id % 20 = 0"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality_fm.fit(docs, _table(spark, sf_dir, "labels"))
@@ -70,8 +74,8 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_simhash_dedup, op2_nearest_neighbours, op4_quality_classifier, op5_quality_rules, op6_source_mixing,
-        op7_best_fit_packing, op8_suffix_dedup, op9_lm_score, op10_chat_formatting,
+        op1_simhash_dedup, op2_nearest_neighbours, op3_html_extraction, op4_quality_classifier,
+        op5_quality_rules, op6_source_mixing, op7_best_fit_packing, op8_suffix_dedup, op9_lm_score, op10_chat_formatting,
     )
 }
 
