@@ -57,6 +57,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def forget_shuffles(spark: SparkSession) -> None:
     """Let the context cleaner delete shuffle files that no live plan refers to."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

@@ -26,6 +26,7 @@ GRAM = 16
 #: A region has at most this many windows, however repetitive the text.
 REGION_WINDOWS = 512
 LAST = np.iinfo(np.int64).max
+_codec: dict = {}  # one compressor and one decompressor per worker
 
 
 def _dense(key: np.ndarray) -> np.ndarray:
@@ -86,12 +87,8 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - step)], x[width - step :]) if width > step else x
 
 
-def regions(text: bytes, lens: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and representative of each region of documents laid end to end."""
-    n = len(text) - length + 1
-    none = np.zeros(0, dtype=np.int64)
-    if n <= 0:
-        return none, none, none.astype(np.uint64)
+def _gram_hashes(text: bytes) -> np.ndarray:
+    """64-bit hash of every GRAM-byte string."""
     grams = len(text) - GRAM + 1
     buf = text + b"\0" * 8
     h = _load8(buf, grams, 0) * np.uint64(0x9E3779B97F4A7C15)
@@ -100,7 +97,16 @@ def regions(text: bytes, lens: np.ndarray, length: int) -> tuple[np.ndarray, np.
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0x94D049BB133111EB)
-    low = _sliding_min(h, length - GRAM + 1)
+    return h
+
+
+def regions(text: bytes, lens: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows and representative of each region of documents laid end to end."""
+    n = len(text) - length + 1
+    none = np.zeros(0, dtype=np.int64)
+    if n <= 0:
+        return none, none, none.astype(np.uint64)
+    low = _sliding_min(_gram_hashes(text), length - GRAM + 1)
     ends = np.cumsum(lens)
     starts = ends - lens
     usable = np.zeros(n + 1, dtype=np.int8)
@@ -125,10 +131,7 @@ class Pack:
     """Rows of some documents as one compressed blob; bytes of their texts and comparable ids."""
 
     def __init__(self, blob: bytes):
-        import zstandard
-
-        raw = zstandard.ZstdDecompressor().decompress(blob)
-        self.batch = pa.ipc.open_stream(raw).read_all().combine_chunks()
+        self.batch = pa.ipc.open_stream(_loosen(blob, np.uint8).tobytes()).read_all().combine_chunks()
         ids = self.batch.column("doc_id")
         self.ids = np.where(np.asarray(ids.is_null()), LAST, ids.fill_null(0).to_numpy())
         texts = [t or b"" for t in self.batch.column("text").cast(pa.binary()).to_pylist()]
@@ -137,15 +140,19 @@ class Pack:
 
 
 def _squeeze(data: bytes) -> bytes:
-    import zstandard
+    if "z" not in _codec:
+        import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress(data)
+        _codec["z"] = zstandard.ZstdCompressor(level=3)
+    return _codec["z"].compress(data)
 
 
 def _loosen(data: bytes, kind) -> np.ndarray:
-    import zstandard
+    if "u" not in _codec:
+        import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=kind)
+        _codec["u"] = zstandard.ZstdDecompressor()
+    return np.frombuffer(_codec["u"].decompress(data), dtype=kind)
 
 
 def _packs(docs: DataFrame, pack_bytes: int) -> DataFrame:
@@ -250,8 +257,35 @@ def _sent(packs: DataFrame, shared: DataFrame, length: int, buckets: int) -> Dat
     return both.applyInArrow(run, "pack long, bucket int, a binary, b binary, c binary, d binary")
 
 
+def first_representatives(texts: list[bytes], length: int) -> np.ndarray:
+    """Representative of each region, told from its first window."""
+    joined = b"".join(texts)
+    starts = np.cumsum([0, *map(len, texts)])[:-1]
+    h = _gram_hashes(joined)
+    out = np.empty(len(texts), dtype=np.uint64)
+    for at in range(0, len(texts), 1 << 16):
+        part = starts[at : at + (1 << 16)]
+        out[at : at + len(part)] = h[part[:, None] + np.arange(length - GRAM + 1)].min(axis=1)
+    return out
+
+
 def smallest_holders(texts: list[bytes], low: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each text, per window start: the smallest of low[] among texts that hold the same window."""
+    """For each region, per window start: the smallest of low[] among regions that hold the same window.
+
+    Windows of different representatives differ, so a region whose representative no other text has is
+    alone with its windows and is not sorted.
+    """
+    rep = first_representatives(texts, length)
+    _, at, n = np.unique(rep, return_inverse=True, return_counts=True)
+    held = [np.full(len(t) - length + 1, x) for t, x in zip(texts, low.tolist())]
+    met = np.flatnonzero(n[at] > 1)
+    if len(met):
+        for k, x in zip(met.tolist(), _sorted_holders([texts[k] for k in met.tolist()], low[met], length)):
+            held[k] = x
+    return held
+
+
+def _sorted_holders(texts: list[bytes], low: np.ndarray, length: int) -> list[np.ndarray]:
     lens = np.array([len(t) for t in texts], dtype=np.int64)
     joined = b"\0".join(texts)
     starts = np.cumsum(lens + 1) - lens - 1
@@ -404,7 +438,7 @@ def _results(packs: DataFrame, sent: DataFrame, holders: DataFrame, schema: T.St
     return packs.groupBy("pack").cogroup(places.unionByName(held).groupBy("pack")).applyInArrow(run, T.StructType(fields))
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, pack_bytes: int = 4 << 20, regions_per_bucket: int = 100_000, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, pack_bytes: int = 4 << 20, regions_per_bucket: int = 400_000, with_text: bool = True) -> DataFrame:
     """`docs` with n_bytes, n_removed, n_spans, kept_sha256 and, with_text, spans and kept_text.
 
     Every byte goes that is covered by a `length`-byte string which also starts in a document of smaller
