@@ -85,16 +85,18 @@ class FactorMachine:
         return float(1 / (1 + np.exp(-np.clip(self.raw(*features(text)), -40, 40))))
 
 
-def fit_rows(rows: list[tuple[np.ndarray, np.ndarray, int]], rank: int = 8, epochs: int = 6, batch: int = 128, rate: float = 0.1, l2: float = 1e-5, seed: int = 1) -> FactorMachine:
+def fit_rows(rows: list[tuple[np.ndarray, np.ndarray, int]], rank: int = 8, steps: int = 600, batch: int = 128, rate: float = 0.1, l2: float = 1e-5, seed: int = 1) -> FactorMachine:
     rng = np.random.default_rng(seed)
     linear = np.zeros(N_FEATURES)
     factors = rng.normal(0, 0.02, (N_FEATURES, rank))
     share = (sum(y for *_, y in rows) + 1) / (len(rows) + 2)
     bias, bias_sq = float(np.log(share / (1 - share))), 1e-6
     linear_sq, factors_sq = np.full(N_FEATURES, 1e-6), np.full((N_FEATURES, rank), 1e-6)
-    for _ in range(epochs if rows else 0):
+    done = 0
+    while rows and done < steps:  # a few labels are gone through as often as many are once
         turn = rng.permutation(len(rows))
         for first in range(0, len(turn), batch):
+            done += 1
             part = [rows[i] for i in turn[first : first + batch]]
             n = np.array([len(r[0]) for r in part])
             start = np.r_[0, n.cumsum()[:-1]]
