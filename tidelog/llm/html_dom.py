@@ -7,7 +7,10 @@ import re
 
 import numpy as np
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]|"[^"]*"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)""", re.S)
+# possessive, so that an unfinished tag costs one look ahead; the second form takes tags with unpaired quotes
+_MARKUP = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^'">]|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*(?:>|\Z)""", re.S
+)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -64,18 +67,18 @@ class Page:
             del stack[depth:]
 
         while at < n:
-            m = _MARKUP.search(s, at)
+            m = _MARKUP.search(s, at) if s.find(">", at) >= 0 or s.find("<!", at) >= 0 else None
             stop = m.start() if m else n
             if stop > at:
                 self._run(stack[-1], s[at:stop])
             if not m:
                 break
             at = m.end()
-            name = m[2]
+            closes, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
             if name is None:
                 continue
             name = name.lower()
-            if m[1]:
+            if closes:
                 if name == "br":
                     self._run(stack[-1], " ")
                 for depth in range(len(stack) - 1, 0, -1):
@@ -113,15 +116,15 @@ class Page:
             self.marks.append(0)
             end.append(k + 1)
             own = _TAG_BITS.get(name, 0)
-            if m[3] and "=" in m[3]:
-                for a in _ATTR.finditer(m[3]):
+            if "=" in attributes:
+                for a in _ATTR.finditer(attributes):
                     for t in _TOKEN.findall(a[2] or a[3] or a[4] or ""):
                         own |= _GROUP_OF.get(t.lower(), 0)
             bits.append(own)
-            if name in _RAW and not m[3].endswith("/"):
+            if name in _RAW and not attributes.endswith("/"):
                 over = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(s, at)
                 at = over.end() if over else n
-            elif name not in VOID and not (m[3].endswith("/") and name in ("svg", "path")):
+            elif name not in VOID and not (attributes.endswith("/") and name in ("svg", "path")):
                 stack.append(k)
         close(0)
 
