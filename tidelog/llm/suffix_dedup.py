@@ -65,13 +65,17 @@ def suffix_ranks(t: np.ndarray) -> np.ndarray:
     pair = np.concatenate([zero, two])
     by_two = _join(_join(text[pair], text[pair + 1], size), rank[pair + 2], top)
     zero_2, two_2 = by_two[: len(zero)], np.sort(by_two[len(zero) :])
+    # each third is visited in suffix order, so that the searches run through sorted keys
     turn = np.argsort(zero_1, kind="stable")
+    zero_1, zero_2 = zero_1[turn], zero_2[turn]
     out = np.empty(n, dtype=np.int64)
-    out[zero[turn]] = np.arange(len(zero))
-    out[zero] += np.searchsorted(one_1, zero_1) + np.searchsorted(two_2, zero_2)
-    extra = end - n
-    out[one] = rank[one] - 1 - extra + np.searchsorted(zero_1[turn], by_one[len(zero) :])
-    out[two] = rank[two] - 1 - extra + np.searchsorted(np.sort(zero_2), by_two[len(zero) :])
+    out[zero[turn]] = np.arange(len(zero)) + np.searchsorted(one_1, zero_1) + np.searchsorted(two_2, zero_2)
+    placed = np.empty(len(sample), dtype=np.int64)
+    placed[names] = sample
+    placed = placed[end - n :]  # without the empty suffix, the smallest
+    for part, keys, zeros in ((1, one_1, zero_1), (2, two_2, zero_2)):
+        at = np.flatnonzero(placed % 3 == part)
+        out[placed[at]] = at + np.searchsorted(zeros, keys)
     return out
 
 
@@ -106,7 +110,8 @@ def regions(text: bytes, lens: np.ndarray, length: int) -> tuple[np.ndarray, np.
     none = np.zeros(0, dtype=np.int64)
     if n <= 0:
         return none, none, none.astype(np.uint64)
-    low = _sliding_min(_gram_hashes(text), length - GRAM + 1)
+    step = 1 << 15  # pieces that stay in the cache
+    low = np.concatenate([_sliding_min(_gram_hashes(text[at : at + step + length - 1]), length - GRAM + 1) for at in range(0, n, step)])
     ends = np.cumsum(lens)
     starts = ends - lens
     usable = np.zeros(n + 1, dtype=np.int8)
@@ -248,7 +253,7 @@ def _sent(packs: DataFrame, shared: DataFrame, length: int, buckets: int) -> Dat
                 some = [texts[i] for i in part.tolist()]
                 lens = np.array([len(s) for s in some], dtype=np.uint32)
                 out.append((row["pack"], k, _squeeze(b"".join(some)), _squeeze(lens.tobytes()), _squeeze(low[part].tobytes()), part.astype(np.uint32).tobytes()))
-            out.append((row["pack"], -1, _squeeze(np.diff(first, prepend=0).astype(np.uint32).tobytes()), _squeeze(doc.astype(np.uint32).tobytes()), _squeeze(which.astype(np.uint32).tobytes()), b""))
+            out.append((row["pack"], -1, _squeeze(np.diff(first, prepend=0).astype(np.uint32).tobytes()), _squeeze(doc.astype(np.uint32).tobytes()), _squeeze(which.astype(np.uint32).tobytes()), _squeeze(count.astype(np.uint16).tobytes())))
         kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         names = ["pack", "bucket", "a", "b", "c", "d"]
         return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
@@ -259,13 +264,11 @@ def _sent(packs: DataFrame, shared: DataFrame, length: int, buckets: int) -> Dat
 
 def first_representatives(texts: list[bytes], length: int) -> np.ndarray:
     """Representative of each region, told from its first window."""
-    joined = b"".join(texts)
-    starts = np.cumsum([0, *map(len, texts)])[:-1]
-    h = _gram_hashes(joined)
     out = np.empty(len(texts), dtype=np.uint64)
-    for at in range(0, len(texts), 1 << 16):
-        part = starts[at : at + (1 << 16)]
-        out[at : at + len(part)] = h[part[:, None] + np.arange(length - GRAM + 1)].min(axis=1)
+    for at in range(0, len(texts), 2048):
+        part = texts[at : at + 2048]
+        h = _gram_hashes(b"".join([t[:length] for t in part]) + b"\0" * (GRAM - 1)).reshape(-1, length)
+        out[at : at + len(part)] = h[:, : length - GRAM + 1].min(axis=1)
     return out
 
 
@@ -360,7 +363,7 @@ def removed_spans(p: Pack, places: dict | None, held: list[dict], length: int) -
     from_run = np.zeros(int(which.max()) + 1, dtype=np.int64)
     n_runs = np.zeros(int(which.max()) + 1, dtype=np.int64)
     from_run[sent], n_runs[sent] = runs.cumsum() - runs, runs
-    count = places["count"]
+    count = _loosen(places["d"], np.uint16).astype(np.int64)
     k = n_runs[which]
     pick = np.repeat(from_run[which] - np.r_[0, k.cumsum()[:-1]], k) + np.arange(k.sum())
     place = np.repeat(np.arange(len(which)), k)
@@ -416,10 +419,6 @@ def _results(packs: DataFrame, sent: DataFrame, holders: DataFrame, schema: T.St
         row = left.to_pylist()[0]
         p = Pack(row["blob"])
         places = next((r for r in parts if r["kind"] == 0), None)
-        if places:
-            first, count, _ = regions(p.text, p.lens, length)
-            mine = np.cumsum(_loosen(places["a"], np.uint32).astype(np.int64))
-            places = places | {"count": count[np.searchsorted(first, mine)]}
         spans = removed_spans(p, places, [{"which": r["a"], "runs": r["b"], "offsets": r["c"], "ids": r["d"]} for r in parts if r["kind"] == 1], length)
         cols: list[list] = [[] for _ in kinds]
         stop = np.cumsum(p.lens)
@@ -433,7 +432,7 @@ def _results(packs: DataFrame, sent: DataFrame, holders: DataFrame, schema: T.St
         data = [p.batch.column(f.name) for f in schema.fields] + [pa.array(c, k) for c, k in list(zip(cols, kinds))[: len(fields) - len(schema.fields)]]
         return pa.table(data, names=[f.name for f in fields])
 
-    places = sent.filter("bucket = -1").select("pack", F.lit(0).alias("kind"), "a", "b", "c", F.lit(b"").alias("d"))
+    places = sent.filter("bucket = -1").select("pack", F.lit(0).alias("kind"), "a", "b", "c", "d")
     held = holders.select("pack", F.lit(1).alias("kind"), F.col("which").alias("a"), F.col("runs").alias("b"), F.col("offsets").alias("c"), F.col("ids").alias("d"))
     return packs.groupBy("pack").cogroup(places.unionByName(held).groupBy("pack")).applyInArrow(run, T.StructType(fields))
 
