@@ -30,12 +30,26 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tidelog-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete every staged table of this application; results not yet written are lost with them."""
+    _delete(spark, _own_folder(spark))
+
+
 class Staged:
     """A table written once to the shared folder; later reads need no lineage and no lost executor."""
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/tidelog-{uuid.uuid4().hex}/{name}"
+        self.path = f"{_own_folder(self.spark)}/{uuid.uuid4().hex}/{name}"
         self.schema = df.schema
         df.write.option("compression", "zstd").parquet(self.path)
 
@@ -44,9 +58,7 @@ class Staged:
 
     def drop(self) -> None:
         """Delete the files; call it only when no unread DataFrame still refers to them."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path).getParent()
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, self.path.rsplit("/", 1)[0])
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
