@@ -9,6 +9,7 @@ ranks come from salted groups, so one very common length does not meet in one ta
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -136,13 +137,15 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_i
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def assign_bins(pieces: DataFrame, capacity: int = 2048, rows_per_group: int = 20_000) -> DataFrame:
+def assign_bins(pieces: DataFrame, capacity: int = 2048, rows_per_group: int | None = None) -> DataFrame:
     """Columns sequence_id and offset added to pieces (column length, 1..capacity) by best fit decreasing.
 
-    `pieces` is read three times; pass a staged table. The driver gets one count per length and salt.
+    `pieces` is read three times; pass a staged table. A length with more than `rows_per_group` pieces, by
+    default the square root of all, is split by a salt; the driver gets one count per length and salt.
     """
     keys = [c for c in pieces.columns if c != "ids"]
     total = pieces.count()
+    rows_per_group = rows_per_group or max(500, math.isqrt(total))
     salts = max(1, -(-total // rows_per_group))
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int"))
     per_length = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
