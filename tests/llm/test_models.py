@@ -34,7 +34,7 @@ def test_quality_held_out_accuracy(spark, odd, none):
     assert all(0 <= r["_score"] <= 1 for r in quality_fm.add_score(odd.drop("_score"), model).collect())
     assert quality_fm.add_score(none.drop("_score"), model).count() == 0
     empty = labels.filter("false")
-    assert quality_fm.fit(docs, empty).score("any text".encode()) == pytest.approx(0.5)
+    assert quality_fm.fit(docs, empty).score("any text".encode()) == pytest.approx(0.5, abs=0.05)
 
 
 def test_attention_gradients_and_tables():
@@ -84,8 +84,8 @@ def test_lm_base_and_model(spark, odd, none):
 
 def test_lm_learns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    counts = lm_score._add_blobs(lm_score._counts(docs.select("doc_id", "text"), tokenizer_path()).filter("kind = 1"))
-    model, classes = lm_score.fit_attention(docs, counts, tokenizer_path())
+    encoded = lm_score._first_pass(docs.select("doc_id", "text"), tokenizer_path()).cache()
+    model, classes = lm_score.fit_attention(encoded.filter("kind = 3"), lm_score._add_blobs(encoded.filter("kind = 1")))
     bpe = lm_score.load(tokenizer_path())
     texts = [classes.of[bpe.ids(r["text"].lower())] for r in docs.limit(40).collect()]
     x, t, _ = attention.windows(texts)

@@ -89,7 +89,7 @@ def log_probs(m: dict, inputs: np.ndarray, targets: np.ndarray, batch: int = 64)
     out = np.empty(len(inputs))
     for at in range(0, len(inputs), batch):
         c = inputs[at : at + batch].astype(np.int32)
-        w = pair[(c[:, HALF:, None] * n) + c[:, None, :]]
+        w = pair.take((c[:, HALF:] * n)[:, :, None] + c[:, None, :], mode="clip")
         w *= place
         seen = (w @ values[c]).reshape(-1, DIM + 1)
         y = e[c[:, HALF:].ravel()] + seen[:, :DIM] / np.maximum(seen[:, DIM:], 1e-30)

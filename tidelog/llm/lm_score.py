@@ -27,36 +27,51 @@ def is_held_out(doc_id: int | None) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % 10 == 0
 
 
-def _counts(docs: DataFrame, tokenizer_path: str, flush: int = 400_000) -> DataFrame:
-    """kind 0: (word, n) of training texts; kind 1: one row of subword counts; kind 2: training documents."""
+PASS = "kind int, word string, n long, blob binary, doc_id long, text string"
+
+
+def _first_pass(docs: DataFrame, tokenizer_path: str, flush: int = 400_000) -> DataFrame:
+    """The one pass that splits and encodes. kind 0: (word, n) of training texts; kind 1: subword counts;
+    kind 2: training documents; kind 3: each document's lower-cased text and its subword ids."""
+    kinds = [pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string()]
+    names = ["kind", "word", "n", "blob", "doc_id", "text"]
+
+    def batch(kind, n_rows, **cols):
+        data = [pa.array(cols[c], k) if c in cols else pa.nulls(n_rows, k) for c, k in zip(names, kinds)]
+        data[0] = pa.array(np.full(n_rows, kind, np.int32))
+        return pa.RecordBatch.from_arrays(data, names=names)
+
+    def counted(words):
+        texts = b" ".join(words).decode().split(" ") if words else []
+        return batch(0, len(words), word=texts, n=list(words.values()))
 
     def run(batches):
         bpe = load(tokenizer_path)
         words: Counter = Counter()
         subwords = np.zeros(bpe.size + 1, dtype=np.int64)
         n_docs = 0
-
-        def rows(counter):
-            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(counter), np.int32)), pa.array([w.decode() for w in counter], pa.string()), pa.array(list(counter.values()), pa.int64()), pa.nulls(len(counter), pa.binary())], names=["kind", "word", "n", "blob"])
-
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
-                if is_held_out(doc_id):
-                    continue
-                low = (text or b"").lower()
-                words.update(low.split())
-                ids = bpe.ids(low.decode())
-                subwords += np.bincount(ids, minlength=len(subwords)) if len(ids) > 4096 else 0
-                if len(ids) <= 4096:
-                    np.add.at(subwords, ids, 1)
-                n_docs += 1
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                keys = part.column(0).to_pylist()
+                low = [(t or b"").lower() for t in part.column(1).cast(pa.binary()).to_pylist()]
+                texts = [t.decode() for t in low]
+                ids = [bpe.ids(t) for t in texts]
+                learned = [k for k, key in enumerate(keys) if not is_held_out(key)]
+                for k in learned:
+                    words.update(low[k].split())
+                if learned:
+                    subwords += np.bincount(np.concatenate([ids[k] for k in learned]), minlength=len(subwords))
+                n_docs += len(learned)
+                yield batch(3, len(keys), blob=[x.tobytes() for x in ids], doc_id=keys, text=texts)
                 if len(words) > flush:
-                    yield rows(words)
+                    yield counted(words)
                     words = Counter()
-        yield rows(words)
-        yield pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int32()), pa.nulls(2, pa.string()), pa.array([0, n_docs], pa.int64()), pa.array([zlib.compress(subwords.tobytes(), 1), None], pa.binary())], names=["kind", "word", "n", "blob"])
+        yield counted(words)
+        yield batch(1, 1, blob=[zlib.compress(subwords.tobytes(), 1)])
+        yield batch(2, 1, n=[n_docs])
 
-    return docs.mapInArrow(run, "kind int, word string, n long, blob binary")
+    return docs.mapInArrow(run, PASS)
 
 
 def _add_blobs(rows: DataFrame, fanout: int = 64) -> np.ndarray | None:
@@ -74,13 +89,8 @@ def _add_blobs(rows: DataFrame, fanout: int = 64) -> np.ndarray | None:
     return sum(parts[1:], parts[0]) if parts else None
 
 
-def _class_texts(batch, bpe, classes, chosen) -> list[np.ndarray]:
-    out = []
-    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        if chosen(doc_id):
-            low = (text or "").encode().lower().decode()
-            out.append(classes.of[bpe.ids(low)])
-    return out
+def _classes_of(blob: bytes, classes: A.Classes) -> np.ndarray:
+    return classes.of[np.frombuffer(blob, dtype="<u2")]
 
 
 def fit_local(m: dict, texts: list[np.ndarray], rate: float, batch: int = 64, epochs: int = 1, seed: int = 0) -> int:
@@ -98,33 +108,26 @@ def fit_local(m: dict, texts: list[np.ndarray], rate: float, batch: int = 64, ep
     return len(inputs)
 
 
-def fit_attention(docs: DataFrame, counts: np.ndarray, tokenizer_path: str, warm_docs: int = 400, train_share: int = 32, fanout: int = 64) -> tuple[dict, A.Classes]:
-    """The averaged model. `warm_docs` bounds only the warm-up; the rest learns from every share of the table."""
-    spark = docs.sparkSession
+def fit_attention(encoded: DataFrame, counts: np.ndarray, warm_docs: int = 400, train_share: int = 32, fanout: int = 64) -> tuple[dict, A.Classes]:
+    """The averaged model, from `encoded` (doc_id, blob of ids). `warm_docs` bounds only the warm-up; the rest
+    learns from every share of the table."""
+    spark = encoded.sparkSession
     classes = A.Classes(counts)
-    learned = docs.filter("doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 10 <> 0")
-    warm = learned.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id", "text").limit(warm_docs)
-    sent_classes = spark.sparkContext.broadcast(classes)
-
-    def ids(batches):
-        bpe = load(tokenizer_path)
-        for b in batches:
-            got = _class_texts(b, bpe, sent_classes.value, lambda _: True)
-            yield pa.RecordBatch.from_arrays([pa.array([g.tobytes() for g in got], pa.binary())], names=["t"])
-
-    texts = [np.frombuffer(r["t"], dtype=np.int16) for r in warm.select("doc_id", "text").mapInArrow(ids, "t binary").collect()]
+    learned = encoded.filter("doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 10 <> 0").select("doc_id", "blob")
+    warm = learned.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id", "blob").limit(warm_docs)
     m = A.initial()
-    fit_local(m, sorted(texts, key=lambda t: t.tobytes()), rate=0.01, epochs=3)
+    fit_local(m, [_classes_of(r["blob"], classes) for r in sorted(warm.collect(), key=lambda r: (r["doc_id"], r["blob"]))], rate=0.01, epochs=3)
+    sent_classes = spark.sparkContext.broadcast(classes)
     sent = spark.sparkContext.broadcast(m)
 
     def train(batches):
         from pyspark import TaskContext
 
-        bpe = load(tokenizer_path)
         own, seen = {k: v.copy() for k, v in sent.value.items()}, 0
-        chosen = lambda i: zlib.crc32(b"share" + str(i).encode()) % train_share == 0
         for b in batches:
-            seen += fit_local(own, _class_texts(b, bpe, sent_classes.value, chosen), rate=0.002)
+            rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+            chosen = [x for i, x in rows if zlib.crc32(b"share" + str(i).encode()) % train_share == 0]
+            seen += fit_local(own, [_classes_of(x, sent_classes.value) for x in chosen], rate=0.002)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % fanout], pa.int32()), pa.array([seen], pa.int64()), pa.array([A.pack_model(own)], pa.binary())], names=["k", "seen", "blob"])
 
@@ -133,7 +136,7 @@ def fit_attention(docs: DataFrame, counts: np.ndarray, tokenizer_path: str, warm
         total = sum(np.frombuffer(b, dtype=np.float64) * n for b, n in zip(t.column("blob").to_pylist(), seen))
         return pa.table([pa.array([int(seen.sum())], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["seen", "blob"])
 
-    rows = learned.select("doc_id", "text").mapInArrow(train, "k int, seen long, blob binary").groupBy("k").applyInArrow(average, "seen long, blob binary").collect()
+    rows = learned.mapInArrow(train, "k int, seen long, blob binary").groupBy("k").applyInArrow(average, "seen long, blob binary").collect()
     if rows:
         total = sum(np.frombuffer(r["blob"], dtype=np.float64) for r in sorted(rows, key=lambda r: r["blob"]))
         m = A.unpack_model(total / sum(r["seen"] for r in rows))
@@ -162,19 +165,19 @@ def score(docs: DataFrame, tokenizer_path: str, common_words: int = 300_000, **o
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = Staged(_counts(docs, tokenizer_path), "partial")
+    found = Staged(_first_pass(docs, tokenizer_path), "encoded")
     by_word = found.read().filter("kind = 0").groupBy("word").agg(F.sum("n").alias("c"))
     counts = Staged(by_word, "counts").read()
     n_docs = found.read().filter("kind = 2").agg(F.sum("n")).first()[0] or 0
     subwords = _add_blobs(found.read().filter("kind = 1"))
     if subwords is None:
         subwords = np.zeros(load(tokenizer_path).size + 1, dtype=np.int64)
-    found.drop()
+    encoded = found.read().filter("kind = 3").select("doc_id", "text", "blob")
     forget_shuffles(spark)
     kinds, tokens = counts.agg(F.count("*"), F.sum("c")).first()
     n_all, n_kinds = (tokens or 0) + n_docs, kinds + (n_docs > 0)
     threshold, common = _common(counts, common_words)
-    model, classes = fit_attention(docs, subwords, tokenizer_path, **options)
+    model, classes = fit_attention(encoded, subwords, **options)
     sent = spark.sparkContext.broadcast((common, model, classes))
     unit = n_all + 0.1 * (n_kinds + 1)
 
@@ -184,27 +187,23 @@ def score(docs: DataFrame, tokenizer_path: str, common_words: int = 300_000, **o
         common, model, classes = sent.value
         logs = {w: float(np.log10((c + 0.1) / unit)) for w, c in common.items()}
         end = float(np.log10((n_docs + 0.1) / unit))
-        bpe = load(tokenizer_path)
         row = TaskContext.get().partitionId() << 40
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()
-            for at in range(0, len(ids), 256):
+            for at in range(0, b.num_rows, 256):
+                some = b.slice(at, 256)
+                parts = [np.frombuffer(x, dtype="<u2") for x in some.column(2).to_pylist()]
                 out = []
-                parts = []
-                for doc_id, text in zip(ids[at : at + 256], texts[at : at + 256]):
-                    low = (text or b"").lower()
+                for doc_id, low in zip(some.column(0).to_pylist(), some.column(1).cast(pa.binary()).to_pylist()):
                     seen = Counter(low.split())
-                    base, known, rare, times = end, int(n_docs > 0), [], []
-                    for w, n in seen.items():
-                        x = logs.get(w)
-                        if x is None:
-                            rare.append(w.decode())
-                            times.append(n)
-                        else:
-                            base += n * x
-                            known += n
+                    x = np.array(list(map(logs.get, seen)), dtype=np.float64)  # nan: not a common word
+                    n = np.fromiter(seen.values(), dtype=np.int64, count=len(seen))
+                    odd = np.isnan(x)
+                    x[odd] = 0
+                    base, known = end + float(x @ n), int(n_docs > 0) + int(n[~odd].sum())
+                    rare = [w for w, o in zip(seen, odd.tolist()) if o]
+                    rare = b" ".join(rare).decode().split(" ") if rare else []
+                    times = n[odd]
                     out.append((row, doc_id, is_held_out(doc_id), sum(seen.values()) + 1, known, base, rare, times))
-                    parts.append(bpe.ids(low.decode()))
                     row += 1
                 cls = [classes.of[p] for p in parts]
                 inputs, targets, owner = A.windows(cls)
@@ -216,7 +215,7 @@ def score(docs: DataFrame, tokenizer_path: str, common_words: int = 300_000, **o
                 yield pa.RecordBatch.from_arrays(data, names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "rare", "times", "score"])
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, rare array<string>, times array<int>, score double"
-    scored = Staged(docs.mapInArrow(run, schema), "scored").read()
+    scored = Staged(encoded.mapInArrow(run, schema), "scored").read()
     forget_shuffles(spark)
     pairs = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("p")).select("row", F.col("p.rare").alias("rare"), F.col("p.times").alias("times"))
     met = pairs.join(counts.filter(F.col("c") < threshold), F.col("rare") == F.col("word"), "left").withColumn("c", F.coalesce("c", F.lit(0)))

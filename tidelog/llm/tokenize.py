@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -58,15 +60,20 @@ class WordCachedBpe:
         }
         if max([*ranks.values(), *special.values()]) > 0xFFFF:
             raise ValueError("ids above 65,535 are not supported")
+        if sys.byteorder != "little":
+            raise RuntimeError("ids are kept as little-endian words")
         self.size = 1 + max([*ranks.values(), *special.values()])
         self._bpe = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self._core = self._bpe._core_bpe
         self._special = set(special)
         self._first = _Ids(self._raw, "", cache_words)
         self._next = _Ids(self._raw, " ", cache_words)
 
     def _raw(self, text: str) -> bytes:
-        ids = self._bpe.encode(text, allowed_special=self._special, disallowed_special=())
-        return np.asarray(ids, dtype="<u2").tobytes()
+        for name in self._special:
+            if name in text:
+                return array("H", self._bpe.encode(text, allowed_special=self._special, disallowed_special=())).tobytes()
+        return array("H", self._core.encode_ordinary(text)).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
         if not text:
