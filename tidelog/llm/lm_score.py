@@ -114,7 +114,9 @@ def fit_attention(encoded: DataFrame, counts: np.ndarray, warm_docs: int = 400,
     spark = encoded.sparkSession
     classes = A.Classes(counts)
     learned = encoded.filter("doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 10 <> 0").select("doc_id", "blob")
-    warm = learned.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id", "blob").limit(warm_docs)
+    # ids are chosen before any text is fetched, so that a task offers the driver only ids
+    first = [r["doc_id"] for r in learned.select("doc_id").distinct().orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(warm_docs).collect()]
+    warm = learned.filter(F.col("doc_id").isin(first)).groupBy("doc_id").agg(F.min("blob").alias("blob"))
     m = A.initial()
     fit_local(m, [_classes_of(r["blob"], classes) for r in sorted(warm.collect(), key=lambda r: (r["doc_id"], r["blob"]))], rate=0.01, epochs=3)
     sent_classes = spark.sparkContext.broadcast(classes)
