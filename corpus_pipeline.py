@@ -15,8 +15,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the one with the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies, the one with the smallest id: five-word shingles, Jaccard 0.8."""
+    return simhash.keep_one(docs, d=20, words_per_shingle=5, similarity=0.8)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

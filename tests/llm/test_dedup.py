@@ -72,6 +72,37 @@ def test_simhash_near_copies(spark):
     check_simhash(spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
+def plain_kept(rows, d=20):
+    """Ids that stay, from all pairs: at most d bits apart and 5 * shared shingles >= 4 * all shingles."""
+    sets, fps, root = [], [], list(range(len(rows)))
+    for _, t in rows:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 5]).encode(), 42) for i in range(max(1, len(w) - 4))] if w else []
+        sets.append(set(h) or {None})
+        fps.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if root[i] != root[j] and (fps[i] ^ fps[j]).bit_count() <= d and 5 * both >= 4 * len(sets[i] | sets[j]):
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    return sorted(min(i for (i, _), r in zip(rows, root) if r == one) for one in set(root))
+
+
+def test_keep_one_finds_near_copies_of_jaccard_08(spark):
+    rng = random.Random(6)
+    base = [[rng.choice("abcdefgh") + str(rng.randint(0, 999)) for _ in range(300)] for _ in range(6)]
+    rows = []
+    for k in range(160):
+        w = list(rng.choice(base))
+        for _ in range(rng.choice([0, 1, 3, 5, 7, 9, 14, 40])):
+            w[rng.randrange(300)] = "new" + str(rng.randint(0, 99999))
+        rows.append((k, " ".join(w[: rng.choice([300, 300, 280, 150, 7, 3])])))
+    want = plain_kept(rows)
+    got = sorted(r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == want and len(want) < 120
+
+
 def test_hot_blocks_are_dealt_again_without_losing_a_link(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 3, dtype=np.uint64)

@@ -11,6 +11,9 @@ Only a spanning forest leaves a task, never all pairs.
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,20 +27,23 @@ _LANE = (np.arange(8) * 256)[None, :]
 _ALL = (1 << 64) - 1
 
 
-def fingerprint(text: bytes | None, words_per_shingle: int = 3, seed: int = 42) -> int:
-    """Unsigned 64-bit fingerprint of a whole text; 0 for one without words."""
+def _digests(text: bytes | None, words_per_shingle: int, seed: int) -> bytes:
+    """The 8-byte hashes of a text's shingles, one after the other; nothing for a text without words."""
     import xxhash
 
     words = text.lower().split() if text else []
     if not words:
-        return 0
+        return b""
     k = min(words_per_shingle, len(words))
     joined = b" ".join(words)
     ends = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
     ends = ends.cumsum() - 1
     starts = np.r_[0, ends[:-1] + 1][: len(words) - k + 1].tolist()
     digest = xxhash.xxh64_digest
-    raw = b"".join([digest(joined[a:b], seed) for a, b in zip(starts, ends[k - 1 :].tolist())])
+    return b"".join([digest(joined[a:b], seed) for a, b in zip(starts, ends[k - 1 :].tolist())])
+
+
+def _majority(raw: bytes) -> int:
     lanes = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 8)
     ones = np.zeros((8, 8), dtype=np.int64)
     for at in range(0, len(lanes), 1 << 17):
@@ -46,6 +52,11 @@ def fingerprint(text: bytes | None, words_per_shingle: int = 3, seed: int = 42)
     return int.from_bytes(np.packbits(2 * ones.ravel() > len(lanes)).tobytes(), "big")
 
 
+def fingerprint(text: bytes | None, words_per_shingle: int = 3, seed: int = 42) -> int:
+    """Unsigned 64-bit fingerprint of a whole text; 0 for one without words."""
+    return _majority(_digests(text, words_per_shingle, seed))
+
+
 def fingerprints(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fp (signed long of the 64 bits) for every row."""
 
@@ -206,30 +217,115 @@ def near_duplicates(docs: DataFrame, d: int = 2, words_per_shingle: int = 3, see
     return marks.join(known, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """`docs` without near-duplicates: of each group the row with the smallest doc_id, columns unchanged.
+def _shingle_set(raw: bytes) -> np.ndarray:
+    """Sorted distinct shingle hashes; a text without words has the one shingle 0."""
+    return np.unique(np.frombuffer(raw, dtype=">u8").astype(np.uint64)) if raw else np.zeros(1, np.uint64)
 
-    Null ids come last; of rows alike in id and group one stays.
-    """
-    kept = near_duplicates(docs, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_d"), F.col("fp").alias("_f"), "root")
-    # one row for each group; fp tells rows of one id apart
-    one = kept.groupBy("root").agg(F.min(F.struct("_d", "_f")).alias("k")).select("k._d", "k._f")
-    names = docs.columns
-    mark = fingerprints_with(docs, **{k: v for k, v in options.items() if k != "d"})
-    met = mark.join(one, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_fp") == F.col("_f")))
-    return met.dropDuplicates(["_d", "_f"]).select(*names)
 
+def _marks(docs: DataFrame, words_per_shingle: int, similarity: Fraction, seed: int) -> DataFrame:
+    """doc_id, key (hash of the text), fp and prefix: the smallest hashes of the shingle set, as many as
+    make two sets of that Jaccard similarity share one."""
 
-def fingerprints_with(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42) -> DataFrame:
-    """`docs` with column _fp."""
-    from pyspark.sql import types as T
+    def run(batches):
+        for b in batches:
+            fps, prefixes = [], []
+            for text in b.column(2).cast(pa.binary()).to_pylist():
+                raw = _digests(text, words_per_shingle, seed)
+                fps.append(_majority(raw))
+                own = _shingle_set(raw)
+                prefixes.append(own[: len(own) - math.ceil(similarity * len(own)) + 1])
+            ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
+            flat = np.concatenate(prefixes or [np.zeros(0, np.uint64)]).view(np.int64)
+            data = [b.column(0), b.column(1), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays(data, names=["doc_id", "key", "fp", "prefix"])
+
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, key long, fp long, prefix array<long>")
 
-    at = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
+
+def _candidate_edges(shared: DataFrame, d: int) -> DataFrame:
+    """Edges (a, b) of a spanning forest, per shingle, of the fingerprints (columns shingle, fp) within d bits."""
 
     def run(batches):
-        for b in batches:
-            fps = [fingerprint(t, words_per_shingle, seed) for t in b.column(at).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=schema.names)
+        parts = [pa.Table.from_batches([b]) for b in batches]
+        if not parts:
+            return
+        t = pa.concat_tables(parts)
+        shingle, fp = t.column("shingle").to_numpy(), t.column("fp").to_numpy()
+        order = np.lexsort((fp, shingle))
+        shingle, fp = shingle[order], fp[order]
+        first = np.r_[True, (shingle[1:] != shingle[:-1]) | (fp[1:] != fp[:-1])]
+        shingle, fp = shingle[first], fp[first]
+        group = np.cumsum(np.r_[True, shingle[1:] != shingle[:-1]]) - 1
+        sizes = np.bincount(group)
+        # groups of like size together, so that one search holds about as many pairs whatever their size
+        for power in range(1, int(sizes.max()).bit_length()):
+            on = sizes[group] >> power == 1
+            if on.any():
+                codes = fp[on].view(np.uint64)
+                root = GrayIndex(codes, group[on]).links(d, chunk=max(1, (1 << 18) >> power))
+                far = root != np.arange(len(root))
+                both = np.unique(np.stack([codes[far].view(np.int64), codes[root[far]].view(np.int64)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    return shared.repartition("shingle").mapInArrow(run, "a long, b long")
+
+
+def similar_groups(fps: np.ndarray, sets: list[np.ndarray], d: int, similarity: Fraction) -> np.ndarray:
+    """Group number of each text: texts within d bits whose sets have that Jaccard similarity are linked."""
+    group, sizes = np.arange(len(fps)), np.array([len(s) for s in sets])
+    up, down = similarity.numerator, similarity.denominator
+    for i in range(1, len(fps)):
+        near = np.bitwise_count(fps[:i] ^ fps[i]) <= d
+        near &= down * np.minimum(sizes[:i], sizes[i]) >= up * np.maximum(sizes[:i], sizes[i])
+        rest = np.flatnonzero(near)
+        while len(rest):
+            j, rest = rest[0], rest[1:]
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if down * both >= up * (sizes[i] + sizes[j] - both):
+                group[group == group[i]] = group[j]
+                rest = rest[group[rest] != group[i]]
+    return group
+
+
+def near_copies(docs: DataFrame, marks: DataFrame, d: int, words_per_shingle: int, similarity: Fraction, seed: int) -> DataFrame:
+    """(key, root) of every text that meets another: root is one key for each group of near copies."""
+    texts = staged(marks.groupBy("key").agg(F.first("fp").alias("fp"), F.first("prefix").alias("prefix")), "texts")
+    roots = components(_candidate_edges(texts.select(F.explode("prefix").alias("shingle"), "fp"), d))
+    placed = texts.select("key", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    met = placed.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("root").alias("_root"))
+    members = staged(placed.join(met, F.col("root") == F.col("_root")).select(F.col("key").alias("_key"), "fp", "root"), "members")
+    text = F.col("text").cast("string")
+    found = docs.select(F.xxhash64(text).alias("key"), text.alias("text")).join(members, F.col("key") == F.col("_key"))
+
+    def run(t):
+        key, fp = t.column("key").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
+        _, one = np.unique(key, return_index=True)
+        words = t.column("text").cast(pa.binary()).take(pa.array(one)).to_pylist()
+        sets = [_shingle_set(_digests(w, words_per_shingle, seed)) for w in words]
+        group = similar_groups(fp[one], sets, d, similarity)
+        return pa.table([pa.array(key[one]), pa.array(key[one][group])], names=["key", "root"])
+
+    return found.select("key", "fp", "root", "text").groupBy("root").applyInArrow(run, "key long, root long")
+
+
+def keep_one(docs: DataFrame, d: int = 20, words_per_shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """`docs` without near-duplicates: of each group the row with the smallest doc_id, columns unchanged.
 
-    return docs.mapInArrow(run, schema)
+    Texts are linked whose fingerprints differ in at most d bits and whose sets of shingles have that
+    Jaccard similarity, which is computed for every candidate. The Gray-order index runs among the texts
+    that share a shingle of their prefixes; similar sets always share one, so this loses no link. Texts
+    without words are alike. Null ids come last; of rows alike in id and text one stays. Equal texts are
+    told by a 64-bit hash.
+    """
+    share = Fraction(str(similarity))
+    marks = staged(_marks(docs, words_per_shingle, share, seed), "marks")
+    roots = near_copies(docs, marks, d, words_per_shingle, share, seed).select(F.col("key").alias("_k"), "root")
+    firsts = marks.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    known = firsts.join(roots, F.col("key") == F.col("_k"), "left").withColumn("root", F.coalesce("root", "key"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("key"))).alias("k")
+    one = staged(known.groupBy("root").agg(least).select(F.col("k.doc_id").alias("_d"), F.col("k.key").alias("_k")), "kept")
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string")))
+    met = keyed.join(one, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")))
+    return met.dropDuplicates(["_d", "_k"]).select(*docs.columns)
