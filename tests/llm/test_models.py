@@ -95,6 +95,18 @@ def test_lm_learns(spark):
     assert per_token > entropy  # better than class frequencies alone
 
 
+def test_lm_learns_from_every_training_document(spark):
+    def fitted(changed):
+        ids = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 10 and zlib.crc32(b"share" + str(i).encode()) % 32]
+        rows = [(i, np.full(40, 7 if i == changed else i, "<u2").tobytes()) for i in ids]
+        df = spark.createDataFrame(rows, "doc_id long, blob binary").coalesce(1)
+        return ids, attention.pack_model(lm_score.fit_attention(df, np.ones(1000, dtype=np.int64), warm_docs=0)[0])
+
+    ids, whole = fitted(None)
+    assert whole != attention.pack_model(attention.initial())
+    assert fitted(ids[0])[1] != whole and fitted(ids[-1])[1] != whole
+
+
 def test_neighbours_recall_and_copies(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(900, 16)).astype(np.float32)

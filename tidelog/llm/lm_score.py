@@ -1,8 +1,8 @@
 """Language-model scoring: an add-0.1 word unigram base and a causal self-attention model.
 
 Counts of words and subwords come from all training documents. The attention model is warmed up on a few
-documents, then every partition trains a copy on its share of the training text (one document in
-`train_share`, so what is learned from grows with the input) and the copies are averaged by weight.
+documents, then every partition trains a copy on all its training documents and the copies are averaged by
+weight.
 Each document is then scored whole. Common words' counts travel as a list of bounded length; the counts
 of all other words are joined by shuffle.
 """
@@ -108,9 +108,9 @@ def fit_local(m: dict, texts: list[np.ndarray], rate: float, batch: int = 64, ep
     return len(inputs)
 
 
-def fit_attention(encoded: DataFrame, counts: np.ndarray, warm_docs: int = 400, train_share: int = 32, fanout: int = 64) -> tuple[dict, A.Classes]:
+def fit_attention(encoded: DataFrame, counts: np.ndarray, warm_docs: int = 400, fanout: int = 64) -> tuple[dict, A.Classes]:
     """The averaged model, from `encoded` (doc_id, blob of ids). `warm_docs` bounds only the warm-up; the rest
-    learns from every share of the table."""
+    learns from every training document."""
     spark = encoded.sparkSession
     classes = A.Classes(counts)
     learned = encoded.filter("doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 10 <> 0").select("doc_id", "blob")
@@ -127,9 +127,7 @@ def fit_attention(encoded: DataFrame, counts: np.ndarray, warm_docs: int = 400,
 
         own, seen = {k: v.copy() for k, v in sent.value.items()}, 0
         for b in batches:
-            rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-            chosen = [x for i, x in rows if zlib.crc32(b"share" + str(i).encode()) % train_share == 0]
-            seen += fit_local(own, [_classes_of(x, sent_classes.value) for x in chosen], rate=0.002)
+            seen += fit_local(own, [_classes_of(x, sent_classes.value) for x in b.column(1).to_pylist()], rate=0.002)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % fanout], pa.int32()), pa.array([seen], pa.int64()), pa.array([A.pack_model(own)], pa.binary())], names=["k", "seen", "blob"])
 
