@@ -12,11 +12,12 @@ Only a spanning forest leaves a task, never all pairs.
 from __future__ import annotations
 
 import math
+import zlib
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import Staged, staged
@@ -105,12 +106,32 @@ class GrayIndex:
             busy = np.flatnonzero(np.repeat(sizes > 1, sizes))
             root_of = np.searchsorted(self.levels[0][0], busy, side="right") - 1
             for at in range(0, len(busy), chunk):
-                self._search(busy[at : at + chunk], root_of[at : at + chunk], d, parent)
+                union(parent, *self._search(busy[at : at + chunk], root_of[at : at + chunk], d))
         out = np.empty(n, dtype=np.int64)
         out[self.order] = self.order[parent]
         return out
 
-    def _search(self, query: np.ndarray, node: np.ndarray, d: int, parent: np.ndarray) -> None:
+    def near(self, d: int, most: int = 1 << 18):
+        """Every pair of codes of one group within d bits, as arrays of input positions; one search at a time
+        looks at about `most` pairs."""
+        if not len(self.code):
+            return
+        starts = self.levels[0][0]
+        sizes = np.diff(np.r_[starts, len(self.code)])
+        cost = np.repeat(np.where(sizes > 1, sizes, 0), sizes).cumsum()
+        at = 0
+        while at < len(cost):
+            stop = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + most, side="right")))
+            query = np.arange(at, stop)
+            node = np.searchsorted(starts, query, side="right") - 1
+            query, node = query[sizes[node] > 1], node[sizes[node] > 1]
+            if len(query):
+                i, j = self._search(query, node, d)
+                yield self.order[i], self.order[j]
+            at = stop
+
+    def _search(self, query: np.ndarray, node: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (earlier, later), in index order, of each query and the codes of its node within d bits."""
         code = self.code
         start, end, shared, pattern = self.levels[0]
         away = np.bitwise_count((code[query] ^ pattern[node]) & shared[node]).astype(np.int64)
@@ -128,7 +149,7 @@ class GrayIndex:
             start, end, shared, pattern = below
         leaf = start[node]
         on = leaf > query
-        union(parent, query[on], leaf[on])
+        return query[on], leaf[on]
 
 
 def union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -179,7 +200,7 @@ def _deal(fps: DataFrame, d: int, max_block: int, depth: int) -> DataFrame:
     return rows
 
 
-def link_edges(fps: DataFrame, d: int = 2, max_block: int = 2000, depth: int = 3) -> DataFrame:
+def link_edges(fps: DataFrame, d: int = 2, max_block: int = 2000, depth: int = 3, rows_per_task: int = 2_000_000) -> DataFrame:
     """Edges (a, b) of a spanning forest, per block value, of distinct fingerprints (column fp) within d bits."""
 
     def run(batches):
@@ -198,7 +219,10 @@ def link_edges(fps: DataFrame, d: int = 2, max_block: int = 2000, depth: int = 3
             a, b = codes[on].view(np.int64), codes[root[on]].view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return _deal(fps, d, max_block, depth).repartition("mask", "value").mapInArrow(run, "a long, b long")
+    dealt = _deal(fps, d, max_block, depth)
+    # partitions enough for about rows_per_task rows each, whatever the cluster's default
+    tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-fps.count() * (d + 1) // rows_per_task))
+    return dealt.repartition(tasks, "mask", "value").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, d: int = 2, words_per_shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -222,92 +246,197 @@ def _shingle_set(raw: bytes) -> np.ndarray:
     return np.unique(np.frombuffer(raw, dtype=">u8").astype(np.uint64)) if raw else np.zeros(1, np.uint64)
 
 
-def _marks(docs: DataFrame, words_per_shingle: int, similarity: Fraction, seed: int) -> DataFrame:
-    """doc_id, key (hash of the text), fp and prefix: the smallest hashes of the shingle set, as many as
-    make two sets of that Jaccard similarity share one."""
+def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, key (hash of the text), text, whole (hash of all columns) and `more`."""
+    text = F.col("text").cast("string")
+    # maps cannot be hashed as they are
+    whole = [F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"), F.xxhash64(*whole).alias("whole"), *more)
+
+
+#: Counters of the sketch that tells common shingles from rare ones, whatever the number of documents.
+SKETCH = 1 << 20
+MARKS = ["kind", "doc_id", "key", "whole", "fp", "n", "blob"]
+
+
+def _marks(docs: DataFrame, words_per_shingle: int, seed: int) -> DataFrame:
+    """kind 0: doc_id, key, fp and n (distinct shingles) of each row; kind 1: a task's sketch of shingle counts."""
 
     def run(batches):
+        sketch, late = np.zeros(SKETCH, dtype=np.int64), []
         for b in batches:
-            fps, prefixes = [], []
+            fps, sizes = [], []
             for text in b.column(2).cast(pa.binary()).to_pylist():
                 raw = _digests(text, words_per_shingle, seed)
                 fps.append(_majority(raw))
                 own = _shingle_set(raw)
-                prefixes.append(own[: len(own) - math.ceil(similarity * len(own)) + 1])
-            ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
-            flat = np.concatenate(prefixes or [np.zeros(0, np.uint64)]).view(np.int64)
-            data = [b.column(0), b.column(1), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays(data, names=["doc_id", "key", "fp", "prefix"])
+                sizes.append(len(own))
+                late.append((own % np.uint64(SKETCH)).astype(np.int32))
+                if len(own) > 1 << 16 or len(late) > 512:
+                    sketch += np.bincount(np.concatenate(late), minlength=SKETCH)
+                    late = []
+            n = len(fps)
+            data = [pa.array(np.zeros(n, np.int32)), b.column(0), b.column(1), b.column(3), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.nulls(n, pa.binary())]
+            yield pa.RecordBatch.from_arrays(data, names=MARKS)
+        if late:
+            sketch += np.bincount(np.concatenate(late), minlength=SKETCH)
+        if sketch.any():
+            blob = zlib.compress(np.minimum(sketch, (1 << 32) - 1).astype(np.uint32).tobytes(), 1)
+            none = pa.nulls(1, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), none, none, none, none, pa.nulls(1, pa.int32()), pa.array([blob], pa.binary())], names=MARKS)
+
+    return _keyed(docs).mapInArrow(run, "kind int, doc_id long, key long, whole long, fp long, n int, blob binary")
+
+
+def _sketch(marks: DataFrame, fanout: int = 16) -> np.ndarray:
+    """The sum of the tasks' sketches; at most `fanout` partial sums of SKETCH counters reach the driver."""
+
+    def add(batches):
+        total = np.zeros(SKETCH, dtype=np.uint64)
+        for b in batches:
+            for blob in b.column(0).to_pylist():
+                total += np.frombuffer(zlib.decompress(blob), dtype=np.uint32)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["blob"])
 
-    text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, key long, fp long, prefix array<long>")
+    parts = marks.filter("kind = 1").select("blob").repartition(fanout).mapInArrow(add, "blob binary").collect()
+    return sum((np.frombuffer(r["blob"], dtype=np.uint64) for r in parts), np.zeros(SKETCH, np.uint64))
+
+
+def prefix(own: np.ndarray, sketch: np.ndarray, similarity: Fraction) -> np.ndarray:
+    """The rarest shingles of a set, as many as make two sets of that Jaccard similarity share one."""
+    most = len(own) - math.ceil(similarity * len(own)) + 1
+    return own[np.argsort(sketch[own % np.uint64(SKETCH)], kind="stable")[:most]]
+
+
+def _grams(docs: DataFrame, sketch: np.ndarray, words_per_shingle: int, similarity: Fraction, seed: int) -> DataFrame:
+    """(shingle, key): the prefix of each text; a task sends a text that it meets again only once."""
+    sent = docs.sparkSession.sparkContext.broadcast(sketch)
+
+    def run(batches):
+        seen: set = set()
+        for b in batches:
+            keys, flat = [], []
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+                if key in seen:
+                    continue
+                if len(seen) > 100_000:
+                    seen.clear()
+                seen.add(key)
+                own = prefix(_shingle_set(_digests(text, words_per_shingle, seed)), sent.value, similarity)
+                keys.append(np.full(len(own), key, dtype=np.int64))
+                flat.append(own)
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(flat).view(np.int64)), pa.array(np.concatenate(keys))], names=["shingle", "key"])
+
+    return _keyed(docs).select("key", "text").mapInArrow(run, "shingle long, key long")
+
+
+def _sets(docs: DataFrame, keys: DataFrame, words_per_shingle: int, seed: int) -> DataFrame:
+    """key, n and the shingle set of the texts of `keys`; a text may come more than once."""
+
+    def run(batches):
+        for b in batches:
+            sets = [_shingle_set(_digests(t, words_per_shingle, seed)) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+            flat = np.concatenate(sets or [np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["key", "shingles"])
 
+    found = _keyed(docs).select("key", "text").join(keys, "key", "left_semi")
+    return found.mapInArrow(run, "key long, shingles array<long>").dropDuplicates(["key"])
 
-def _candidate_edges(shared: DataFrame, d: int) -> DataFrame:
-    """Edges (a, b) of a spanning forest, per shingle, of the fingerprints (columns shingle, fp) within d bits."""
+
+def _pairs(cells: DataFrame, d: int, similarity: Fraction, reach: int | None) -> DataFrame:
+    """Pairs (a, b) of keys of different classes in one cell that are within d bits and whose sizes allow the
+    similarity: the next `reach` in Gray order, or, without `reach`, all that the index finds."""
+    up, down = similarity.numerator, similarity.denominator
 
     def run(batches):
         parts = [pa.Table.from_batches([b]) for b in batches]
         if not parts:
             return
         t = pa.concat_tables(parts)
-        shingle, fp = t.column("shingle").to_numpy(), t.column("fp").to_numpy()
-        order = np.lexsort((fp, shingle))
-        shingle, fp = shingle[order], fp[order]
-        first = np.r_[True, (shingle[1:] != shingle[:-1]) | (fp[1:] != fp[:-1])]
-        shingle, fp = shingle[first], fp[first]
-        group = np.cumsum(np.r_[True, shingle[1:] != shingle[:-1]]) - 1
-        sizes = np.bincount(group)
-        # groups of like size together, so that one search holds about as many pairs whatever their size
-        for power in range(1, int(sizes.max()).bit_length()):
-            on = sizes[group] >> power == 1
-            if on.any():
-                codes = fp[on].view(np.uint64)
-                root = GrayIndex(codes, group[on]).links(d, chunk=max(1, (1 << 18) >> power))
-                far = root != np.arange(len(root))
-                both = np.unique(np.stack([codes[far].view(np.int64), codes[root[far]].view(np.int64)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-    return shared.repartition("shingle").mapInArrow(run, "a long, b long")
-
-
-def similar_groups(fps: np.ndarray, sets: list[np.ndarray], d: int, similarity: Fraction) -> np.ndarray:
-    """Group number of each text: texts within d bits whose sets have that Jaccard similarity are linked."""
-    group, sizes = np.arange(len(fps)), np.array([len(s) for s in sets])
-    up, down = similarity.numerator, similarity.denominator
-    for i in range(1, len(fps)):
-        near = np.bitwise_count(fps[:i] ^ fps[i]) <= d
-        near &= down * np.minimum(sizes[:i], sizes[i]) >= up * np.maximum(sizes[:i], sizes[i])
-        rest = np.flatnonzero(near)
-        while len(rest):
-            j, rest = rest[0], rest[1:]
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if down * both >= up * (sizes[i] + sizes[j] - both):
-                group[group == group[i]] = group[j]
-                rest = rest[group[rest] != group[i]]
-    return group
-
-
-def near_copies(docs: DataFrame, marks: DataFrame, d: int, words_per_shingle: int, similarity: Fraction, seed: int) -> DataFrame:
-    """(key, root) of every text that meets another: root is one key for each group of near copies."""
-    texts = staged(marks.groupBy("key").agg(F.first("fp").alias("fp"), F.first("prefix").alias("prefix")), "texts")
-    roots = components(_candidate_edges(texts.select(F.explode("prefix").alias("shingle"), "fp"), d))
-    placed = texts.select("key", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-    met = placed.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("root").alias("_root"))
-    members = staged(placed.join(met, F.col("root") == F.col("_root")).select(F.col("key").alias("_key"), "fp", "root"), "members")
-    text = F.col("text").cast("string")
-    found = docs.select(F.xxhash64(text).alias("key"), text.alias("text")).join(members, F.col("key") == F.col("_key"))
-
-    def run(t):
-        key, fp = t.column("key").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
-        _, one = np.unique(key, return_index=True)
-        words = t.column("text").cast(pa.binary()).take(pa.array(one)).to_pylist()
-        sets = [_shingle_set(_digests(w, words_per_shingle, seed)) for w in words]
-        group = similar_groups(fp[one], sets, d, similarity)
-        return pa.table([pa.array(key[one]), pa.array(key[one][group])], names=["key", "root"])
-
-    return found.select("key", "fp", "root", "text").groupBy("root").applyInArrow(run, "key long, root long")
+        shingle, low, high, block, key, root, n = (t.column(c).to_numpy() for c in ("shingle", "low", "high", "block", "key", "root", "n"))
+        code = t.column("fp").to_numpy().view(np.uint64)
+        order = np.lexsort((high, low, shingle))
+        moved = np.ones(len(order), dtype=bool)
+        moved[1:] = (np.diff(shingle[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
+        group = np.empty(len(order), dtype=np.int64)
+        group[order] = np.cumsum(moved) - 1
+        found: list[np.ndarray] = []
+
+        def put(i, j):
+            on = (root[i] != root[j]) & (np.bitwise_count(code[i] ^ code[j]) <= d)
+            on &= down * np.minimum(n[i], n[j]) >= up * np.maximum(n[i], n[j])
+            on &= (low[i] == high[i]) | (block[i] != block[j])  # two blocks of a group meet once, each alone once
+            found.append(np.unique(np.stack([np.minimum(key[i], key[j])[on], np.maximum(key[i], key[j])[on]], axis=1), axis=0))
+
+        if reach:
+            turn = np.lexsort((key, gray_rank(code), group))
+            for step in range(1, reach + 1):
+                i, j = turn[:-step], turn[step:]
+                same = group[i] == group[j]
+                put(i[same], j[same])
+        else:
+            for i, j in GrayIndex(code, group).near(d):
+                put(i, j)
+        both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        for at in range(0, len(both), 1 << 16):
+            part = both[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["a", "b"])
+
+    return cells.repartition("shingle", "low", "high").mapInArrow(run, "a long, b long")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
+    """The pairs whose shingle sets have the similarity, computed exactly."""
+    one = sets.select(F.col("key").alias("a"), F.col("shingles").alias("_x"))
+    two = sets.select(F.col("key").alias("b"), F.col("shingles").alias("_y"))
+    met = pairs.join(one, "a").join(two, "b").withColumn("_both", F.size(F.array_intersect("_x", "_y")).cast("long"))
+    whole = F.size("_x") + F.size("_y") - F.col("_both")
+    return met.filter(F.col("_both") * similarity.denominator >= whole * similarity.numerator).select("a", "b")
+
+
+def near_copies(docs: DataFrame, marks: DataFrame, d: int, words_per_shingle: int, similarity: Fraction, seed: int, block: int = 4096) -> DataFrame:
+    """(node, root) of the texts (keys) that have near copies: root is one key of each group.
+
+    Texts meet in groups that share a prefix shingle. Groups are cut into cells of about `block` texts; three
+    rounds look for pairs of texts not yet linked, first among neighbours in Gray order, under two different
+    cuts, then among all that the index finds, each two blocks of a group together. A pair is counted once
+    its similarity is computed, so pairs that fail never hide others, and a large group of near copies is
+    linked by chains, never by all its pairs.
+    """
+    spark = docs.sparkSession
+    grams = _grams(docs, _sketch(marks), words_per_shingle, similarity, seed)
+    shared = Window.partitionBy("shingle")
+    met = grams.withColumn("_low", F.min("key").over(shared)).withColumn("_high", F.max("key").over(shared)).filter("_low < _high").select("shingle", "key").distinct()
+    texts = marks.filter("kind = 0").groupBy("key").agg(F.first("fp").alias("fp"), F.first("n").alias("n"))
+    groups = Staged(met.join(texts, "key"), "groups").read()
+    counts = groups.groupBy("shingle").agg(F.count("*").alias("_size"))
+    groups = Staged(groups.join(counts, "shingle").withColumn("_blocks", F.ceil(F.col("_size") / block)).drop("_size"), "sized").read()
+    keys = Staged(groups.select("key").distinct(), "keys").read()
+    sets = Staged(_sets(docs, keys, words_per_shingle, seed), "sets").read()
+    edges = spark.createDataFrame([], "a long, b long")
+    tried, roots = edges, None
+    for turn, reach in ((1, 2), (2, 8), (3, None)):
+        rows = groups if roots is None else groups.join(roots, F.col("key") == F.col("node"), "left").drop("node")
+        rows = rows.withColumn("root", F.col("key") if roots is None else F.coalesce("root", "key"))
+        open_ = rows.groupBy("shingle").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a < _b").select("shingle")
+        rows = rows.join(open_, "shingle", "left_semi").withColumn("block", F.pmod(F.xxhash64(F.lit(turn), "key"), F.col("_blocks")).cast("int"))
+        if reach:
+            cells = rows.withColumn("low", F.col("block")).withColumn("high", F.col("block"))
+        else:
+            cells = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks").cast("int") - 1)))
+            cells = cells.withColumn("low", F.least("block", "_other")).withColumn("high", F.greatest("block", "_other"))
+        fresh = _pairs(cells.select("shingle", "low", "high", "block", "key", "root", "fp", "n"), d, similarity, reach).distinct()
+        pairs = Staged(fresh.join(tried, ["a", "b"], "left_anti"), "pairs").read()
+        good = Staged(_similar(pairs, sets, similarity), "similar").read()
+        tried = tried.unionByName(pairs)
+        if good.isEmpty():
+            continue
+        edges = edges.unionByName(good)
+        roots = components(edges)
+    return roots if roots is not None else spark.createDataFrame([], "node long, root long")
 
 
 def keep_one(docs: DataFrame, d: int = 20, words_per_shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
@@ -315,17 +444,24 @@ def keep_one(docs: DataFrame, d: int = 20, words_per_shingle: int = 5, similarit
 
     Texts are linked whose fingerprints differ in at most d bits and whose sets of shingles have that
     Jaccard similarity, which is computed for every candidate. The Gray-order index runs among the texts
-    that share a shingle of their prefixes; similar sets always share one, so this loses no link. Texts
-    without words are alike. Null ids come last; of rows alike in id and text one stays. Equal texts are
-    told by a 64-bit hash.
+    that share a shingle of their prefixes, the rarest fifth of their shingles; similar sets always share
+    one, so this loses no link. Texts without words are alike. Null ids come last; of rows alike in id and
+    text the one whose columns, as JSON, have the smallest hash stays. Equal texts are told by a 64-bit
+    hash. An empty table gives no rows. Columns may have any names.
     """
     share = Fraction(str(similarity))
-    marks = staged(_marks(docs, words_per_shingle, share, seed), "marks")
-    roots = near_copies(docs, marks, d, words_per_shingle, share, seed).select(F.col("key").alias("_k"), "root")
-    firsts = marks.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    known = firsts.join(roots, F.col("key") == F.col("_k"), "left").withColumn("root", F.coalesce("root", "key"))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("key"))).alias("k")
-    one = staged(known.groupBy("root").agg(least).select(F.col("k.doc_id").alias("_d"), F.col("k.key").alias("_k")), "kept")
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string")))
-    met = keyed.join(one, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")))
-    return met.dropDuplicates(["_d", "_k"]).select(*docs.columns)
+    marks = staged(_marks(docs, words_per_shingle, seed), "marks")
+    roots = near_copies(docs, marks, d, words_per_shingle, share, seed)
+    own = marks.filter("kind = 0").groupBy("key", "doc_id", "whole").agg(F.count("*").alias("alike"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "whole", "alike")
+    firsts = own.groupBy("key").agg(F.min(first).alias("first"))
+    known = firsts.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
+    least = known.groupBy("root").agg(F.min(F.struct("first", "key")).alias("k"))
+    one = staged(least.select(F.col("k.first.doc_id").alias("id"), F.col("k.first.whole").alias("hash"), F.col("k.key").alias("own"), F.col("k.first.alike").alias("alike")), "kept")
+    # the columns of `docs` travel inside one struct, so that none can clash
+    rows = _keyed(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    met = rows.join(one, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("own")) & (F.col("whole") == F.col("hash")))
+    if one.filter("alike > 1").isEmpty():
+        return met.select("row.*")
+    repeated = met.filter("alike > 1").dropDuplicates(["id", "own"])
+    return met.filter("alike = 1").unionByName(repeated).select("row.*")
