@@ -85,9 +85,9 @@ def test_mix(spark, odd, none):
 
 def test_ids_are_those_of_tokenizers(spark):
     library = Tokenizer.from_file(tokenizer_path())
-    own = tokenize.WordCachedBpe(tokenizer_path(), cache_words=50)
+    own = tokenize.load(tokenizer_path())
     texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    texts += ["", " ", "  a", "a  b ", "a\n b", "a \nb", "x <|endoftext|> y<|endoftext|>", "don't we'll  I'm", "1 2,3 é ü  z", "\ttab\r\n", "日本 語 text", "\x1c a \x1fb", "é" * 300]
+    texts += ["", " ", "  a", "a  b ", "a\n b", "a \nb", "x <|endoftext|> y<|endoftext|>", "don't we'll  I'm", "1 2,3 é ü  z", "\ttab\r\n", "日本 語 text", "\x1c a \x1fb", "é" * 300, "x" * 5000, "\u0301\u200b \u3000a", "a\r\n\r\n  b\t", "<|endoftext|", "\ud7ff\U0001f600!"]
     for t in texts:
         assert own.ids(t).tolist() == library.encode(t, add_special_tokens=False).ids, t[:80]
 

@@ -1,21 +1,17 @@
-"""Byte-level BPE ids of whole texts, cached by word.
+"""Byte-level BPE ids of whole texts.
 
-The ids are those of the `tokenizers` library for the given vocabulary file. The splitting pattern of
-this vocabulary always breaks before a single space that stands between two other characters, so a text
-is cut there first and each piece's ids are looked up; only pieces not seen before reach the merge loop.
+The ids are those of the `tokenizers` library for the given vocabulary file. Texts are encoded whole by
+`tiktoken` on the same vocabulary and splitting pattern, straight into a buffer of ids: over texts with many
+rare words this takes less time than looking words up in a cache, and keeps no memory.
 """
 
 from __future__ import annotations
 
 import json
-import re
-import sys
-from array import array
 
 import numpy as np
 
-_unsafe = re.compile(r" \s|\s ")
-_loaded: dict[str, "WordCachedBpe"] = {}
+_loaded: dict[str, "Bpe"] = {}
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -28,24 +24,10 @@ def _byte_alphabet() -> dict[str, int]:
     return table
 
 
-class _Ids(dict):
-    """Piece to the bytes of its ids as little-endian uint16; emptied when it holds `limit` pieces."""
+class Bpe:
+    """ids(text) gives a uint16 array; the vocabulary must have no id above 65,535."""
 
-    def __init__(self, encode, lead: str, limit: int):
-        super().__init__()
-        self.encode, self.lead, self.limit = encode, lead, limit
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        out = self[piece] = self.encode(self.lead + piece)
-        return out
-
-
-class WordCachedBpe:
-    """ids(text) gives a uint16 array; the vocabulary must have fewer than 65,536 ids."""
-
-    def __init__(self, path: str, cache_words: int = 300_000):
+    def __init__(self, path: str):
         import tiktoken
         from public_tokenizers import PATTERN
 
@@ -60,37 +42,16 @@ class WordCachedBpe:
         }
         if max([*ranks.values(), *special.values()]) > 0xFFFF:
             raise ValueError("ids above 65,535 are not supported")
-        if sys.byteorder != "little":
-            raise RuntimeError("ids are kept as little-endian words")
         self.size = 1 + max([*ranks.values(), *special.values()])
-        self._bpe = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self._core = self._bpe._core_bpe
+        self._core = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)._core_bpe
         self._special = set(special)
-        self._first = _Ids(self._raw, "", cache_words)
-        self._next = _Ids(self._raw, " ", cache_words)
-
-    def _raw(self, text: str) -> bytes:
-        for name in self._special:
-            if name in text:
-                return array("H", self._bpe.encode(text, allowed_special=self._special, disallowed_special=())).tobytes()
-        return array("H", self._core.encode_ordinary(text)).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, dtype="<u2")
-        if _unsafe.search(text):
-            return np.frombuffer(self._raw_long(text), dtype="<u2")
-        head, *rest = text.split(" ")
-        return np.frombuffer(self._first[head] + b"".join(map(self._next.__getitem__, rest)), dtype="<u2")
-
-    def _raw_long(self, text: str) -> bytes:
-        """Texts with runs of spaces: cut only before single spaces between other characters."""
-        pieces = re.split(r"(?<=\S)(?= \S)", text)
-        return b"".join(self._first[p] if len(p) < 40 else self._raw(p) for p in pieces)
+        return np.frombuffer(self._core.encode_to_tiktoken_buffer(text, self._special), dtype=np.uint32).astype("<u2")
 
 
-def load(path: str) -> WordCachedBpe:
+def load(path: str) -> Bpe:
     """One instance per worker process and file."""
     if path not in _loaded:
-        _loaded[path] = WordCachedBpe(path)
+        _loaded[path] = Bpe(path)
     return _loaded[path]
