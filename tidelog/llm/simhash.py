@@ -289,18 +289,25 @@ def _marks(docs: DataFrame, words_per_shingle: int, seed: int) -> DataFrame:
 
 
 def _sketch(marks: DataFrame, fanout: int = 16) -> np.ndarray:
-    """The sum of the tasks' sketches; at most `fanout` partial sums of SKETCH counters reach the driver."""
+    """The sum of the tasks' sketches, each counter as an eighth of a power of two: SKETCH bytes."""
 
     def add(batches):
         total = np.zeros(SKETCH, dtype=np.uint64)
         for b in batches:
             for blob in b.column(0).to_pylist():
-                total += np.frombuffer(zlib.decompress(blob), dtype=np.uint32)
+                total += np.frombuffer(zlib.decompress(blob), dtype=np.uint64 if b.schema.names[0] == "sum" else np.uint32)
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["sum"])
 
-    parts = marks.filter("kind = 1").select("blob").repartition(fanout).mapInArrow(add, "blob binary").collect()
-    return sum((np.frombuffer(r["blob"], dtype=np.uint64) for r in parts), np.zeros(SKETCH, np.uint64))
+    def scale(batches):
+        for b in add(batches):
+            total = np.frombuffer(zlib.decompress(b.column(0)[0].as_py()), dtype=np.uint64)
+            small = np.minimum(8 * np.log2(total + 1.0), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([small.tobytes()], pa.binary())], names=["small"])
+
+    parts = marks.filter("kind = 1").select("blob").repartition(fanout).mapInArrow(add, "sum binary")
+    rows = parts.repartition(1).mapInArrow(scale, "small binary").collect()  # one task adds `fanout` sums
+    return np.frombuffer(rows[0]["small"], dtype=np.uint8) if rows else np.zeros(SKETCH, np.uint8)
 
 
 def prefix(own: np.ndarray, sketch: np.ndarray, similarity: Fraction) -> np.ndarray:
