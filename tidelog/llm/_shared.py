@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -44,6 +45,24 @@ def clean(spark: SparkSession) -> None:
     _delete(spark, _own_folder(spark))
 
 
+#: Spark deletes the shuffle files of a finished execution while this setting is on.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def no_shuffle_left(spark: SparkSession):
+    """Executions inside keep no shuffle files once they have ended; for plans that run only once."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 class Staged:
     """A table written once to the shared folder; later reads need no lineage and no lost executor."""
 
@@ -51,7 +70,8 @@ class Staged:
         self.spark = df.sparkSession
         self.path = f"{_own_folder(self.spark)}/{uuid.uuid4().hex}/{name}"
         self.schema = df.schema
-        df.write.option("compression", "zstd").parquet(self.path)
+        with no_shuffle_left(self.spark):
+            df.write.option("compression", "zstd").parquet(self.path)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
@@ -64,14 +84,3 @@ class Staged:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared folder and read again."""
     return Staged(df, name).read()
-
-
-def forget_shuffles(spark: SparkSession) -> None:
-    """Let the context cleaner delete shuffle files that no live plan refers to."""
-    import gc
-    import time
-
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)

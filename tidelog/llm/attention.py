@@ -1,11 +1,12 @@
-"""A one-layer causal self-attention model over subword classes, in numpy.
-
-The most frequent subwords are classes of their own; the others share classes of about equal weight and are
-told apart within a class by their smoothed corpus frequency, so P(subword) = P(class | context) *
-P(subword | class) is a proper distribution over the whole vocabulary. Contexts are overlapping windows of
-2 * HALF inputs; each window predicts what follows its last HALF inputs, so every token is scored once,
-with at least HALF inputs of context where the text has them. Positions act through a bias on the scores,
-so for scoring the attention weight of every pair of classes is one table, exponentials included.
+"""A one-layer causal self-attention model over subword ids, in numpy.
+
+The SIDE * SIDE most frequent ids, the end of a text among them, have an input and an output vector each;
+they are the slots 0, 1, ... by frequency. An output is chosen in two steps that both depend on the context:
+a class of SIDE neighbouring slots, then the slot within it. The ids beyond them share one more class and one
+input vector, and are told apart by their smoothed corpus frequency, so P(id) is a proper distribution over
+the whole vocabulary. Contexts are overlapping windows of 2 * HALF inputs; each window predicts what follows
+its last HALF inputs, so every token is scored once, with at least HALF inputs of context where the text has
+them. Positions act through a bias on the attention scores.
 """
 
 from __future__ import annotations
@@ -14,33 +15,32 @@ import numpy as np
 
 HALF = 16
 DIM = 16
-SINGLE = 64  # subwords with a class of their own
-SHARED = 15  # classes of the others; the end of a text is one more class
-CLASSES = SINGLE + SHARED + 1
-CLIP = 30  # bound of a pair's attention score
-START, PAD = CLASSES, CLASSES + 1
+SIDE = 64
+HEAD = SIDE * SIDE  # ids with a slot of their own
+REST, START, PAD = HEAD, HEAD + 1, HEAD + 2
+CLIP = 30  # bound of an attention score
 
 _causal = np.where(np.arange(2 * HALF)[None, :] > np.arange(HALF, 2 * HALF)[:, None], np.float32(-1e9), np.float32(0))
 
 
-class Classes:
-    """Class of each subword id (the last id is the end of a text) and its log probability within it."""
+class Slots:
+    """Slot of each id (the last id is the end of a text); log probability of an id within its slot."""
 
     def __init__(self, counts: np.ndarray):
-        c = counts[:-1].astype(np.float64) + 0.1
+        c = counts.astype(np.float64) + 0.1
         order = np.lexsort((np.arange(len(c)), -c))
-        self.of = np.empty(len(counts), dtype=np.int16)
-        self.of[order[:SINGLE]] = np.arange(SINGLE)
-        rest = order[SINGLE:]
-        mass = np.cumsum(c[rest])
-        self.of[rest] = SINGLE + np.minimum((mass - c[rest] / 2) / mass[-1] * SHARED, SHARED - 1).astype(np.int16)
-        self.of[-1] = CLASSES - 1
-        total = np.bincount(self.of[:-1], c, CLASSES)
-        self.within = np.append(np.log(c) - np.log(total[self.of[:-1]]), 0.0)
-
-
-def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs (n, 2 * HALF), targets (n, HALF; -1: none) and text number of each window, from classes."""
+        self.of = np.full(len(c), REST, dtype=np.int16)
+        self.of[order[:HEAD]] = np.arange(min(HEAD, len(c)))
+        rest = self.of == REST
+        self.within = np.where(rest, np.log(c) - np.log(c[rest].sum() if rest.any() else 1.0), 0.0)
+        self.end = int(self.of[-1])
+        self.bias = np.log(np.bincount(np.minimum(self.of // SIDE, SIDE), c, SIDE + 1) + 1e-9)
+        own = np.log(np.append(c[order[:HEAD]], np.full(max(0, HEAD - len(c)), 1e-9))).reshape(SIDE, SIDE)
+        self.member_bias = own - own.max(axis=1, keepdims=True)
+
+
+def windows(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs (n, 2 * HALF), targets (n, HALF; -1: none) and text number of each window, from slots."""
     n = np.array([len(t) + 1 for t in texts], dtype=np.int64)
     blocks = -(-n // HALF)
     size = (blocks + 1) * HALF
@@ -48,9 +48,10 @@ def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     inputs = np.full(int(size.sum()), PAD, dtype=np.int16)
     targets = np.full(int(size.sum()), -1, dtype=np.int16)
     at = np.repeat(base + HALF - (n.cumsum() - n), n) + np.arange(int(n.sum()))
-    ends = n.cumsum() - 1
-    flat = np.full(int(n.sum()), CLASSES - 1, dtype=np.int16)
-    flat[np.delete(np.arange(len(flat)), ends)] = np.concatenate(texts) if len(texts) else flat[:0]
+    flat = np.full(int(n.sum()), end, dtype=np.int16)
+    inside = np.ones(len(flat), dtype=bool)
+    inside[n.cumsum() - 1] = False
+    flat[inside] = np.concatenate(texts) if len(texts) else flat[:0]
     targets[at] = flat
     inputs[at[1:]] = flat[:-1]
     inputs[base + HALF] = START
@@ -59,10 +60,14 @@ def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return inputs[first[:, None] + span], targets[first[:, None] + HALF + np.arange(HALF)], np.repeat(np.arange(len(texts)), blocks)
 
 
-def initial(seed: int = 3) -> dict[str, np.ndarray]:
+def initial(slots: Slots | None = None, seed: int = 3) -> dict[str, np.ndarray]:
+    """Weights before training; with `slots` the outputs start at the corpus frequencies."""
     rng = np.random.default_rng(seed)
-    shape = {"e": (CLASSES + 2, DIM), "r": (HALF, 2 * HALF), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "u": (DIM, CLASSES), "b": (CLASSES,)}
-    return {n: (rng.normal(0, 0.3 if n in "eu" else 0.1, s) if n != "b" else np.zeros(s)).astype(np.float32) for n, s in shape.items()}
+    shape = {"e": (HEAD + 3, DIM), "r": (HALF, 2 * HALF), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "c": (DIM, SIDE + 1), "u": (SIDE, DIM, SIDE)}
+    m = {n: rng.normal(0, 0.3 if n == "e" else 0.1, s).astype(np.float32) for n, s in shape.items()}
+    m["cb"] = (slots.bias if slots else np.zeros(SIDE + 1)).astype(np.float32)
+    m["ub"] = (slots.member_bias if slots else np.zeros((SIDE, SIDE))).astype(np.float32)
+    return m
 
 
 def _forward(m: dict, inputs: np.ndarray):
@@ -70,87 +75,130 @@ def _forward(m: dict, inputs: np.ndarray):
     keys, values = x @ m["k"], x @ m["v"]
     late = x[:, HALF:]
     q = late @ m["q"]
-    a = np.clip(q @ keys.transpose(0, 2, 1), -CLIP, CLIP) + m["r"] + _causal
-    a = a + np.where(inputs == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
-    a = np.exp(a)
-    a /= np.maximum(a.sum(axis=2, keepdims=True), 1e-30)  # inputs past a text's end see nothing
-    y = late + a @ values
-    return x, keys, values, q, a, y, y.reshape(-1, DIM) @ m["u"] + m["b"]
-
-
-def log_probs(m: dict, inputs: np.ndarray, targets: np.ndarray, batch: int = 64) -> np.ndarray:
+    raw = q @ keys.transpose(0, 2, 1)
+    a = np.clip(raw, -CLIP, CLIP)
+    a += m["r"] + _causal
+    np.exp(a, out=a)
+    if inputs[0, 0] == PAD or (inputs == PAD).any():
+        a *= (inputs != PAD)[:, None, :]
+    total = a.reshape(-1, 2 * HALF) @ np.ones(2 * HALF, dtype=a.dtype)
+    a *= (1 / np.maximum(total, 1e-30)).reshape(a.shape[:2])[:, :, None]  # inputs past a text's end see nothing
+    return x, keys, values, q, raw, a, late + a @ values
+
+
+def _softmax(logits: np.ndarray, scaled: bool = False) -> np.ndarray:
+    """Log of each row's sum of exponentials; the logits are overwritten, by their softmax if `scaled`."""
+    top = 0.0
+    if max(logits.max(initial=0), -logits.min(initial=0)) > 60:
+        top = logits.max(axis=1)
+        logits -= top[:, None]
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], dtype=logits.dtype)
+    if scaled:
+        logits *= (1 / total)[:, None]
+    return np.log(total) + top
+
+
+def _by_class(slot: np.ndarray):
+    """Order of the targets by class, and (class, first, last + 1) of each class of own slots."""
+    group = slot // SIDE
+    order = np.argsort(group, kind="stable")
+    edge = np.searchsorted(group[order], np.arange(SIDE + 1))
+    return group, order, [(g, edge[g], edge[g + 1]) for g in np.flatnonzero(np.diff(edge)).tolist()]
+
+
+def log_probs(m: dict, inputs: np.ndarray, targets: np.ndarray, batch: int = 256) -> np.ndarray:
     """Natural log probability of each window's targets, summed per window in double precision."""
-    e, n = m["e"], CLASSES + 2
-    pair = np.exp(np.clip((e @ m["q"]) @ (e @ m["k"]).T, -CLIP, CLIP))
-    pair[:, PAD] = 0
-    pair = np.ascontiguousarray(pair, dtype=np.float32).ravel()
-    place = np.exp(m["r"] + _causal)
-    values = np.c_[e @ m["v"], np.ones(n)].astype(np.float32)  # the last column sums the weights
     out = np.empty(len(inputs))
     for at in range(0, len(inputs), batch):
-        c = inputs[at : at + batch].astype(np.int32)
-        w = pair.take((c[:, HALF:] * n)[:, :, None] + c[:, None, :], mode="clip")
-        w *= place
-        seen = (w @ values[c]).reshape(-1, DIM + 1)
-        y = e[c[:, HALF:].ravel()] + seen[:, :DIM] / np.maximum(seen[:, DIM:], 1e-30)
-        logits = y @ m["u"]
-        logits += m["b"]
+        y = _forward(m, inputs[at : at + batch])[-1].reshape(-1, DIM)
         t = targets[at : at + batch].ravel()
-        hit = logits[np.arange(len(t)), np.maximum(t, 0)].astype(np.float64)
-        top = logits.max()
-        if top > 80:
-            top = logits.max(axis=1, keepdims=True)
-            logits -= top
-            hit -= top[:, 0]
-        np.exp(logits, out=logits)
-        hit -= np.log(logits.sum(axis=1, dtype=np.float64))
-        hit[t < 0] = 0
-        out[at : at + batch] = hit.reshape(-1, HALF).sum(axis=1)
+        rows = np.flatnonzero(t >= 0)
+        y, slot = y[rows], t[rows].astype(np.int64)
+        group, order, parts = _by_class(slot)
+        logits = y @ m["c"]
+        logits += m["cb"]
+        hit = logits[np.arange(len(rows)), group].astype(np.float64)
+        hit -= _softmax(logits)
+        y, member, more = y[order], slot[order] % SIDE, np.zeros(len(rows))
+        for g, a, b in parts:
+            logits = y[a:b] @ m["u"][g]
+            logits += m["ub"][g]
+            one = logits[np.arange(b - a), member[a:b]].astype(np.float64)
+            more[a:b] = one - _softmax(logits)
+        hit[order] += more
+        whole = np.zeros(len(t))
+        whole[rows] = hit
+        out[at : at + batch] = whole.reshape(-1, HALF).sum(axis=1)
     return out
 
 
 def gradients(m: dict, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss per token and its gradients."""
-    x, keys, values, q, a, y, logits = _forward(m, inputs)
+    x, keys, values, q, raw, a, seen = _forward(m, inputs)
     t = targets.ravel()
-    known = t >= 0
-    p = np.exp(logits - logits.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
-    rows, n = np.arange(len(t)), max(1, int(known.sum()))
-    loss = -float(np.log(np.maximum(p[rows[known], t[known]], 1e-30)).sum()) / n
-    p[rows[known], t[known]] -= 1
-    p *= (known / n).astype(np.float32)[:, None]
-    flat = y.reshape(-1, DIM)
-    g = {"u": flat.T @ p, "b": p.sum(axis=0)}
-    dy = (p @ m["u"].T).reshape(y.shape)
+    rows = np.flatnonzero(t >= 0)
+    n = max(1, len(rows))
+    y, slot = seen.reshape(-1, DIM)[rows], t[rows].astype(np.int64)
+    group, order, parts = _by_class(slot)
+    p = y @ m["c"]
+    p += m["cb"]
+    each = np.arange(len(rows))
+    loss = -float(p[each, group].sum(dtype=np.float64))
+    loss += float(_softmax(p, scaled=True).sum(dtype=np.float64))
+    p[each, group] -= 1
+    p /= n
+    g = {"c": y.T @ p, "cb": p.sum(axis=0), "u": np.zeros_like(m["u"]), "ub": np.zeros_like(m["ub"])}
+    d = p @ m["c"].T
+    y, member = y[order], slot[order] % SIDE
+    more = np.zeros_like(y)
+    for k, first, last in parts:
+        p = y[first:last] @ m["u"][k]
+        p += m["ub"][k]
+        own = (np.arange(last - first), member[first:last])
+        loss -= float(p[own].sum(dtype=np.float64))
+        loss += float(_softmax(p, scaled=True).sum(dtype=np.float64))
+        p[own] -= 1
+        p /= n
+        g["u"][k], g["ub"][k] = y[first:last].T @ p, p.sum(axis=0)
+        more[first:last] = p @ m["u"][k].T
+    d[order] += more
+    dy = np.zeros((len(t), DIM), dtype=y.dtype)
+    dy[rows] = d
+    dy = dy.reshape(seen.shape)
     da = dy @ values.transpose(0, 2, 1)
     dv = a.transpose(0, 2, 1) @ dy
-    da = a * (da - (da * a).sum(axis=2, keepdims=True))
-    dr = da.sum(axis=0)
-    da = da * (np.abs(q @ keys.transpose(0, 2, 1)) < CLIP)
+    da *= a
+    da -= a * (da.reshape(-1, 2 * HALF) @ np.ones(2 * HALF, dtype=a.dtype)).reshape(a.shape[:2])[:, :, None]
+    g["r"] = da.sum(axis=0)
+    if np.abs(raw).max(initial=0) >= CLIP:
+        da *= np.abs(raw) < CLIP
     dq, dk = da @ keys, da.transpose(0, 2, 1) @ q
     dx = dk @ m["k"].T + dv @ m["v"].T
     dx[:, HALF:] += dy + dq @ m["q"].T
     outer = lambda l, r: l.reshape(-1, DIM).T @ r.reshape(-1, DIM)
-    g |= {"k": outer(x, dk), "v": outer(x, dv), "q": outer(x[:, HALF:], dq), "r": dr}
-    each = dx.reshape(-1, DIM)
-    g["e"] = np.stack([np.bincount(inputs.ravel(), each[:, j], CLASSES + 2) for j in range(DIM)], axis=1)
-    return loss, g
+    g |= {"k": outer(x, dk), "v": outer(x, dv), "q": outer(x[:, HALF:], dq)}
+    place = (inputs.ravel().astype(np.int64) * DIM)[:, None] + np.arange(DIM)
+    g["e"] = np.bincount(place.ravel(), dx.ravel(), m["e"].size).reshape(m["e"].shape).astype(dx.dtype)
+    return loss / n, g
 
 
 class Adam:
     def __init__(self, m: dict, rate: float):
         self.rate, self.n = rate, 0
-        self.one = {k: np.zeros_like(v, dtype=np.float64) for k, v in m.items()}
-        self.two = {k: np.zeros_like(v, dtype=np.float64) for k, v in m.items()}
+        self.one = {k: np.zeros_like(v) for k, v in m.items()}
+        self.two = {k: np.zeros_like(v) for k, v in m.items()}
 
     def step(self, m: dict, g: dict, scale: float = 1.0) -> None:
         self.n += 1
+        rate = np.float32(self.rate * scale * np.sqrt(1 - 0.99**self.n) / (1 - 0.9**self.n))
         for k in m:
-            self.one[k] = 0.9 * self.one[k] + 0.1 * g[k]
-            self.two[k] = 0.99 * self.two[k] + 0.01 * g[k].astype(np.float64) ** 2
-            step = self.one[k] / (1 - 0.9**self.n) / (np.sqrt(self.two[k] / (1 - 0.99**self.n)) + 1e-8)
-            m[k] -= (self.rate * scale * step).astype(np.float32)
+            one, two = self.one[k], self.two[k]
+            one *= np.float32(0.9)
+            one += np.float32(0.1) * g[k]
+            two *= np.float32(0.99)
+            two += np.float32(0.01) * (g[k] * g[k])
+            m[k] -= rate * one / (np.sqrt(two) + np.float32(1e-8))
 
 
 def pack_model(m: dict) -> bytes:

@@ -1,8 +1,9 @@
 """Language-model scoring: an add-0.1 word unigram base and a causal self-attention model.
 
-Counts of words and subwords come from all training documents. The attention model is warmed up on a few
-documents, then every partition trains a copy on all its training documents and the copies are averaged by
-weight.
+Counts of words and subwords come from all training documents. These are dealt by a hash of their content into
+shares of about `share_tokens` tokens each. The attention model is trained on the first share; a copy of it is
+trained on every other share, and the copies are averaged by weight, in the order of the shares, so neither
+the model nor a score depends on how the rows are spread over partitions.
 Each document is then scored whole. Common words' counts travel as a list of bounded length; the counts
 of all other words are joined by shuffle.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import attention as A
-from ._shared import Staged, forget_shuffles
+from ._shared import Staged, no_shuffle_left
 from .tokenize import load
 
 
@@ -28,11 +29,14 @@ def is_held_out(doc_id: int | None) -> bool:
 
 
 PASS = "kind int, word string, n long, blob binary, doc_id long, text string"
+#: Rows alike in id and text that one task deals into one share.
+ALIKE = 256
 
 
 def _first_pass(docs: DataFrame, tokenizer_path: str, flush: int = 400_000) -> DataFrame:
     """The one pass that splits and encodes. kind 0: (word, n) of training texts; kind 1: subword counts;
-    kind 2: training documents; kind 3: each document's lower-cased text and its subword ids."""
+    kind 2: training documents; kind 3: each document's lower-cased text, its subword ids and, as n, how often
+    the task has met it before, in steps of ALIKE."""
     kinds = [pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string()]
     names = ["kind", "word", "n", "blob", "doc_id", "text"]
 
@@ -48,6 +52,7 @@ def _first_pass(docs: DataFrame, tokenizer_path: str, flush: int = 400_000) -> D
     def run(batches):
         bpe = load(tokenizer_path)
         words: Counter = Counter()
+        met: Counter = Counter()
         subwords = np.zeros(bpe.size + 1, dtype=np.int64)
         n_docs = 0
         for b in batches:
@@ -63,7 +68,11 @@ def _first_pass(docs: DataFrame, tokenizer_path: str, flush: int = 400_000) -> D
                 if learned:
                     subwords += np.bincount(np.concatenate([ids[k] for k in learned]), minlength=len(subwords))
                 n_docs += len(learned)
-                yield batch(3, len(keys), blob=[x.tobytes() for x in ids], doc_id=keys, text=texts)
+                again = []
+                for key, text in zip(keys, low):
+                    again.append(met[key, zlib.crc32(text)] // ALIKE)
+                    met[key, zlib.crc32(text)] += 1
+                yield batch(3, len(keys), blob=[x.tobytes() for x in ids], doc_id=keys, text=texts, n=again)
                 if len(words) > flush:
                     yield counted(words)
                     words = Counter()
@@ -86,65 +95,79 @@ def _add_blobs(rows: DataFrame, fanout: int = 64) -> np.ndarray | None:
         return pa.table([pa.array([total.tobytes()], pa.binary())], names=["blob"])
 
     parts = [np.frombuffer(r["blob"], dtype=np.int64) for r in partial.groupBy("k").applyInArrow(run, "blob binary").collect()]
-    return sum(parts[1:], parts[0]) if parts else None
+    return sum(parts, np.zeros_like(parts[0])) if parts else None
 
 
-def _classes_of(blob: bytes, classes: A.Classes) -> np.ndarray:
-    return classes.of[np.frombuffer(blob, dtype="<u2")]
-
-
-def fit_local(m: dict, texts: list[np.ndarray], rate: float, batch: int = 64, epochs: int = 1, seed: int = 0) -> int:
-    """Train m in place; returns the windows seen."""
+def fit_local(m: dict, texts: list[np.ndarray], end: int, rate: float, batch: int = 256, least_steps: int = 1, seed: int = 0) -> int:
+    """Train m in place on slots of texts; returns the windows seen. A few windows are gone through as often
+    as makes `least_steps`."""
     if not texts:
         return 0
-    inputs, targets, _ = A.windows(texts)
+    inputs, targets, _ = A.windows(texts, end)
     adam, rng = A.Adam(m, rate), np.random.default_rng(seed)
-    steps = epochs * -(-len(inputs) // batch)
-    for e in range(epochs):
+    each = -(-len(inputs) // batch)
+    epochs = -(-least_steps // each)
+    for _ in range(epochs):
         turn = rng.permutation(len(inputs))
         for at in range(0, len(turn), batch):
             part = turn[at : at + batch]
-            adam.step(m, A.gradients(m, inputs[part], targets[part])[1], scale=1 - 0.9 * adam.n / max(1, steps))
+            adam.step(m, A.gradients(m, inputs[part], targets[part])[1], scale=1 - 0.9 * adam.n / (epochs * each))
     return len(inputs)
 
 
-def fit_attention(encoded: DataFrame, counts: np.ndarray, warm_docs: int = 400, fanout: int = 64) -> tuple[dict, A.Classes]:
-    """The averaged model, from `encoded` (doc_id, blob of ids). `warm_docs` bounds only the warm-up; the rest
-    learns from every training document."""
-    spark = encoded.sparkSession
-    classes = A.Classes(counts)
-    learned = encoded.filter("doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 10 <> 0").select("doc_id", "blob")
-    # ids are chosen before any text is fetched, so that a task offers the driver only ids
-    first = [r["doc_id"] for r in learned.select("doc_id").distinct().orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(warm_docs).collect()]
-    warm = learned.filter(F.col("doc_id").isin(first)).groupBy("doc_id").agg(F.min("blob").alias("blob"))
-    m = A.initial()
-    fit_local(m, [_classes_of(r["blob"], classes) for r in sorted(warm.collect(), key=lambda r: (r["doc_id"], r["blob"]))], rate=0.01, epochs=3)
-    sent_classes = spark.sparkContext.broadcast(classes)
-    sent = spark.sparkContext.broadcast(m)
-
-    def train(batches):
-        from pyspark import TaskContext
+SHARE = "share int, seen long, blob binary"
 
-        own, seen = {k: v.copy() for k, v in sent.value.items()}, 0
-        for b in batches:
-            seen += fit_local(own, [_classes_of(x, sent_classes.value) for x in b.column(1).to_pylist()], rate=0.002)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % fanout], pa.int32()), pa.array([seen], pa.int64()), pa.array([A.pack_model(own)], pa.binary())], names=["k", "seen", "blob"])
 
-    def average(t):
-        seen = t.column("seen").to_numpy()
-        total = sum(np.frombuffer(b, dtype=np.float64) * n for b, n in zip(t.column("blob").to_pylist(), seen))
-        return pa.table([pa.array([int(seen.sum())], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["seen", "blob"])
+def _sum_in_order(models: DataFrame, fanout: int = 16) -> np.ndarray | None:
+    """Sum of models (doubles) weighed by seen, always in the same order, over seen; a tree of `fanout`."""
+
+    def add(t):
+        rows = sorted(zip(t.column("share").to_pylist(), t.column("seen").to_pylist(), t.column("blob").to_pylist()))
+        total = np.zeros(len(rows[0][2]) // 8)
+        for _, _, blob in rows:
+            total = total + np.frombuffer(blob, dtype=np.float64)
+        return pa.table([pa.array([rows[0][0] // fanout], pa.int32()), pa.array([sum(r[1] for r in rows)]), pa.array([total.tobytes()], pa.binary())], names=["share", "seen", "blob"])
 
-    rows = learned.mapInArrow(train, "k int, seen long, blob binary").groupBy("k").applyInArrow(average, "seen long, blob binary").collect()
-    if rows:
-        total = sum(np.frombuffer(r["blob"], dtype=np.float64) for r in sorted(rows, key=lambda r: r["blob"]))
-        m = A.unpack_model(total / sum(r["seen"] for r in rows))
-    return m, classes
+    while models.count() > fanout:
+        models = Staged(models.groupBy(F.expr(f"share div {fanout}")).applyInArrow(add, SHARE), "models").read()
+    rows = sorted(models.collect())
+    if not rows:
+        return None
+    return sum((np.frombuffer(r["blob"], dtype=np.float64) for r in rows), 0.0) / sum(r["seen"] for r in rows)
 
 
-def _common(counts: DataFrame, most: int) -> tuple[int, dict[bytes, int]]:
-    """Words whose count reaches a threshold that at most `most` words reach, and the threshold."""
+def fit_attention(encoded: DataFrame, counts: np.ndarray, share_tokens: int = 2_000_000, least_steps: int = 400) -> tuple[dict, A.Slots]:
+    """The model, from all training documents of `encoded` (doc_id, blob of ids, n) and the ids' `counts`."""
+    spark = encoded.sparkSession
+    slots = A.Slots(counts)
+    shares = max(1, -(-int(counts.sum()) // share_tokens))
+    learned = encoded.filter("doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 10 <> 0")
+    learned = learned.select("doc_id", "blob", F.pmod(F.xxhash64("doc_id", "blob", "n"), F.lit(shares)).cast("int").alias("share"))
+    sent_slots = spark.sparkContext.broadcast(slots)
+
+    def trained(start, rate: float, least: int):
+        def run(t):
+            slots = sent_slots.value
+            own = A.initial(slots) if start is None else {k: v.copy() for k, v in start.value.items()}
+            texts = [slots.of[np.frombuffer(x, dtype="<u2")] for _, x in sorted(zip(t.column("doc_id").to_pylist(), t.column("blob").to_pylist()))]
+            share = t.column("share")[0].as_py()
+            seen = fit_local(own, texts, slots.end, rate, least_steps=least, seed=share)
+            return pa.table([pa.array([share], pa.int32()), pa.array([seen], pa.int64()), pa.array([A.pack_model(own) if start is None else (np.frombuffer(A.pack_model(own)) * seen).tobytes()], pa.binary())], names=["share", "seen", "blob"])
+
+        return run
+
+    with no_shuffle_left(spark):
+        first = learned.filter("share = 0").groupBy("share").applyInArrow(trained(None, 0.01, least_steps), SHARE).collect()
+    m = A.unpack_model(np.frombuffer(first[0]["blob"], dtype=np.float64)) if first else A.initial(slots)
+    if shares > 1:
+        rest = learned.filter("share > 0").groupBy("share").applyInArrow(trained(spark.sparkContext.broadcast(m), 0.005, 1), SHARE)
+        total = _sum_in_order(Staged(rest, "models").read())
+        m = m if total is None else A.unpack_model(total)
+    return m, slots
+
+
+def _common(counts: DataFrame, most: int, unit: float) -> tuple[int, dict[bytes, float]]:
+    """Terms of the words whose count reaches a threshold that at most `most` words reach, and the threshold."""
     sizes = counts.groupBy(F.least("c", F.lit(1_000_000)).alias("c")).count().collect()
     threshold, n = 1_000_001, 0
     for r in sorted(sizes, reverse=True):
@@ -152,7 +175,8 @@ def _common(counts: DataFrame, most: int) -> tuple[int, dict[bytes, int]]:
             break
         threshold, n = r["c"], n + r["count"]
     table = counts.filter(F.col("c") >= threshold).toArrow()
-    return threshold, {w.encode(): c for w, c in zip(table.column("word").to_pylist(), table.column("c").to_pylist())}
+    terms = np.log10((table.column("c").to_numpy() + 0.1) / unit)
+    return threshold, dict(zip(table.column("word").cast(pa.binary()).to_pylist(), terms.tolist()))
 
 
 def score(docs: DataFrame, tokenizer_path: str, common_words: int = 300_000, **options) -> DataFrame:
@@ -172,20 +196,19 @@ def score(docs: DataFrame, tokenizer_path: str, common_words: int = 300_000, **o
     subwords = _add_blobs(found.read().filter("kind = 1"))
     if subwords is None:
         subwords = np.zeros(load(tokenizer_path).size + 1, dtype=np.int64)
-    encoded = found.read().filter("kind = 3").select("doc_id", "text", "blob")
-    forget_shuffles(spark)
+    encoded = found.read().filter("kind = 3")
     kinds, tokens = counts.agg(F.count("*"), F.sum("c")).first()
     n_all, n_kinds = (tokens or 0) + n_docs, kinds + (n_docs > 0)
-    threshold, common = _common(counts, common_words)
-    model, classes = fit_attention(encoded, subwords, **options)
-    sent = spark.sparkContext.broadcast((common, model, classes))
+    subwords[-1] += n_docs
     unit = n_all + 0.1 * (n_kinds + 1)
+    threshold, common = _common(counts, common_words, unit)
+    model, slots = fit_attention(encoded.select("doc_id", "blob", "n"), subwords, **options)
+    sent = spark.sparkContext.broadcast((common, model, slots))
 
     def run(batches):
         from pyspark import TaskContext
 
-        common, model, classes = sent.value
-        logs = {w: float(np.log10((c + 0.1) / unit)) for w, c in common.items()}
+        logs, model, slots = sent.value
         end = float(np.log10((n_docs + 0.1) / unit))
         row = TaskContext.get().partitionId() << 40
         for b in batches:
@@ -205,18 +228,16 @@ def score(docs: DataFrame, tokenizer_path: str, common_words: int = 300_000, **o
                     times = n[odd]
                     out.append((row, doc_id, is_held_out(doc_id), sum(seen.values()) + 1, known, base, rare, times))
                     row += 1
-                cls = [classes.of[p] for p in parts]
-                inputs, targets, owner = A.windows(cls)
+                inputs, targets, owner = A.windows([slots.of[p] for p in parts], slots.end)
                 value = np.bincount(owner, A.log_probs(model, inputs, targets), len(parts))
-                value += [float(classes.within[p].sum()) for p in parts]
+                value += [float(slots.within[p].sum()) for p in parts] + slots.within[-1]
                 cols = list(zip(*out))
                 kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32())]
                 data = [pa.array(c, k) for c, k in zip(cols, kinds)] + [pa.array(value / np.log(10))]
                 yield pa.RecordBatch.from_arrays(data, names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "rare", "times", "score"])
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, rare array<string>, times array<int>, score double"
-    scored = Staged(encoded.mapInArrow(run, schema), "scored").read()
-    forget_shuffles(spark)
+    scored = Staged(encoded.select("doc_id", "text", "blob").mapInArrow(run, schema), "scored").read()
     pairs = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("p")).select("row", F.col("p.rare").alias("rare"), F.col("p.times").alias("times"))
     met = pairs.join(counts.filter(F.col("c") < threshold), F.col("rare") == F.col("word"), "left").withColumn("c", F.coalesce("c", F.lit(0)))
     terms = met.groupBy("row").agg(
