@@ -35,29 +35,38 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _repeat_words(windows: Column) -> Column:
-    """Words in windows found twice or more, each word once, from 64-bit hashes of the windows in order.
+def _repeat_words(windows: Column, words: str) -> Column:
+    """Words in windows found twice or more, each word once; exact.
 
-    A window's position replaces as many low bits of its hash as positions need, so one sort of plain
-    longs makes equal windows neighbours; the repeated positions are sorted again and the cover of
-    [p, p + 2] is summed. With w windows, two unequal ones are taken for equal with a chance of about
-    w^3 / 2^65: under one in 10^9 for a text of 20,000 words.
+    A window's position replaces as many low bits of its hash as positions need, so one sort of plain longs
+    makes equal windows neighbours. Only windows with such a neighbour are looked at again: they are sorted
+    by their three words themselves, so unequal windows with like hashes are told apart. The positions of
+    those equal to a neighbour are sorted once more and the cover of [p, p + 2] is summed.
     """
 
+    def beside(s: Column, same) -> Column:
+        return F.filter(s, lambda x, i: F.coalesce(same(x, F.get(s, i + 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, i - 1)), F.lit(False)))
+
+    def exact(places: Column) -> Column:
+        word = lambda p, k: F.get(words, (p + k).cast("int"))
+        rows = F.sort_array(F.transform(places, lambda p: F.struct(word(p, 0).alias("a"), word(p, 1).alias("b"), word(p, 2).alias("c"), p.alias("p"))))
+        same = lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+        return _let(rows, lambda s: F.sort_array(F.transform(beside(s, same), lambda x: x["p"])))
+
     def count(h: Column, bits: Column) -> Column:
         packed = F.sort_array(F.transform(h, lambda x, i: F.call_function("shiftleft", F.call_function("shiftright", x, bits), bits).bitwiseOR(i.cast("long"))))
-        near = lambda x, y: F.coalesce(F.call_function("shiftright", x.bitwiseXOR(y), bits) == 0, F.lit(False))
-        found = lambda s: F.filter(s, lambda x, i: near(x, F.get(s, i + 1)) | near(x, F.get(s, i - 1)))
+        alike = lambda x, y: F.call_function("shiftright", x.bitwiseXOR(y), bits) == 0
         low = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
         start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-3).cast("long").alias("last"))
-        places = _let(packed, lambda s: F.sort_array(F.transform(found(s), lambda x: x.bitwiseAND(low))))
+        maybe = _let(packed, lambda s: F.transform(beside(s, alike), lambda x: x.bitwiseAND(low)))
+        places = _let(maybe, exact)
         return F.aggregate(places, start, lambda a, p: F.struct((a["sum"] + F.least(F.lit(3).cast("long"), p - a["last"])).alias("sum"), p.alias("last")), lambda a: a["sum"])
 
     return _let(windows, lambda h: _let(F.length(F.bin(F.size(h).cast("long"))).cast("int"), lambda bits: count(h, bits)))
 
 
-def ledger(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """One row per document: doc_id, columns `keep`, measurements, fail_bits.
+def ledger(docs: DataFrame, keep: list[str] | None = None, hash_bits: int = 64) -> DataFrame:
+    """One row per document: doc_id, columns `keep`, measurements, fail_bits. `hash_bits` changes no result.
 
     Null and empty texts have no words. Rows are judged each on their own, so nulls, repeats and ties need
     no rule; only doc_id, text and `keep` are read, so other columns cannot clash.
@@ -68,13 +77,15 @@ def ledger(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     words = read.select("doc_id", *kept, "_text", F.filter(F.split("_text", SPACE_CLASS), lambda w: w != "").alias("_words"))
     lines = F.filter(F.split("_text", "\n"), lambda x: F.translate(x, _SPACES, "") != "")
     hashes = F.transform(F.slice("_words", 1, F.greatest(F.size("_words") - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2)))
+    if hash_bits < 64:
+        hashes = F.transform(hashes, lambda h: F.call_function("shiftleft", h, F.lit(64 - hash_bits)))
     measured = words.select(
         "doc_id", *kept,
         F.size("_words").cast("long").alias("n_words"),
         F.char_length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         (F.size(F.split("_text", SYMBOLS)) - 1).cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("_lines"),
-        _repeat_words(hashes).alias("n_repeat_words"),
+        _repeat_words(hashes, "_words").alias("n_repeat_words"),
     ).select("*", F.col("_lines.n").alias("n_lines"), F.col("_lines.dup").alias("n_dup_lines")).drop("_lines")
     bits = sum((F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)) for k, (_, rule) in enumerate(RULES)), F.lit(0))
     return measured.withColumn("fail_bits", bits.cast("long"))
