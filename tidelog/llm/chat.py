@@ -35,13 +35,13 @@ def _rows(turns: DataFrame, part_turns: int) -> DataFrame:
 
 def prefix_hashes(turns: DataFrame, part_turns: int = 256) -> DataFrame:
     """conv_id, pos (from 1), n (turns of the conversation), ha, hb: hashes of the first pos turns."""
-    rows = staged(_rows(turns, part_turns).drop("text"), "turns")
+    within = Window.partitionBy("conv_id", "run").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
+    rows = staged(_rows(turns, part_turns).withColumn("rank", F.row_number().over(within)).drop("text", "role", "turn"), "turns")
     key = lambda x, y: x["conv_id"].eqNullSafe(y["c"]) & (x["run"] == y["r"])
     whole, before = Window.partitionBy("conv_id"), Window.partitionBy("conv_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = rows.groupBy("conv_id", "run").agg(F.count("*").alias("k"))
     runs = runs.select(F.col("conv_id").alias("c"), F.col("run").alias("r"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("first"), F.sum("k").over(whole).alias("n"))
-    within = Window.partitionBy("conv_id", "run").orderBy(F.col("turn").asc_nulls_last(), "role", "a", "b")
-    placed = rows.withColumn("rank", F.row_number().over(within)).join(runs, key(rows, runs)).withColumn("pos", F.col("first") + F.col("rank"))
+    placed = rows.join(runs, key(rows, runs)).withColumn("pos", F.col("first") + F.col("rank"))
     hashed = placed.select("conv_id", "run", "n", "pos", F.xxhash64(F.lit(3), "pos", "a").alias("a"), F.xxhash64(F.lit(4), "pos", "b").alias("b"))
     up_to = Window.partitionBy("conv_id", "run").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     running = staged(hashed.select("*", F.expr("bit_xor(a)").over(up_to).alias("xa"), F.expr("bit_xor(b)").over(up_to).alias("xb")), "running")
@@ -66,16 +66,16 @@ def render(turns: DataFrame, part_turns: int = 256) -> DataFrame:
     Almost every conversation has one part; the parts of a longer one, joined in order, are its rendering.
     """
     rows = _rows(turns, part_turns)
-    line = F.concat(F.lit(START), escape(F.col("role")), F.lit("\n"), escape(F.col("text")), F.lit(END), F.lit("\n"))
-    item = F.struct(F.col("turn").isNull().alias("u"), "turn", "role", "a", "b", line.alias("line"))
+    line = lambda x: F.concat(F.lit(START), escape(x["role"]), F.lit("\n"), escape(x["text"]), F.lit(END), F.lit("\n"))
+    item = F.struct(F.col("turn").isNull().alias("u"), "turn", "role", "text")
     parts = rows.groupBy("conv_id", "run").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return parts.select("conv_id", F.col("run").cast("long").alias("part"), F.size("items").cast("long").alias("n_turns"), F.array_join(F.transform("items", lambda x: x["line"]), "").alias("rendered"))
+    return parts.select("conv_id", F.col("run").cast("long").alias("part"), F.size("items").cast("long").alias("n_turns"), F.array_join(F.transform("items", line), "").alias("rendered"))
 
 
 def format_chats(turns: DataFrame, part_turns: int = 256) -> DataFrame:
     """Maximal conversations, rendered: conv_id, part, n_turns, rendered.
 
-    Turns go by turn number, null last, ties by role and content; null role or text counts as empty; rows
+    Turns go by turn number, null last, ties by role, then text; null role or text counts as empty; rows
     with a null conv_id are one conversation, whose id comes after all others; repeated rows are repeated
     turns; an empty table gives no rows; only the four columns named are read, so others cannot clash.
     """
