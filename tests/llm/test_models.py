@@ -189,6 +189,28 @@ def test_no_contradictions():
         assert sum(int(b) << k for k, b in enumerate(keep)) == best[1]
 
 
+def test_long_pages_take_linear_time(trees):
+    import time
+
+    n = 50_000
+    shapes = ["<b>" * n + "</i>" * n, "<b>" * n + "<p>x</p>" * n, "x<b>y</b>" * n, "<ul>" + "<li>a" * n, "<p>" * n, "<table>" + "<tr><td>1" * n]
+    for shape in shapes:
+        began = time.time()
+        html_extract.extract(["<article>" + shape + "</article>"], trees)
+        assert time.time() - began < 20
+    p = html_dom.Page("<article>" + "x<b>y</b>" * 3 + "<p>a<p>b</article>")
+    assert p.text(np.ones(len(p.tag), bool)) == "xyxyxy\n\na\n\nb"
+
+
+def test_references_do_not_reach_across_markup():
+    def text(s):
+        p = html_dom.Page(s)
+        return p.text(np.ones(len(p.tag), bool))
+
+    assert text("<p>AT&<b>amp;</b>T &am<b>p;</b> &amp;<i>lt;</i></p>") == "AT&amp;T &amp; &lt;"
+    assert text("<p>x<br>y<script>1</script>z</p>") == "x yz" and text("<div>x<div></div>y</div>") == "x\n\ny"
+
+
 def test_html_edges(spark, trees):
     text = html_extract.extract([None, "", "plain &amp; simple", "<p>one<p>two", '<script>var a="<p>no</p>"</script><article><p>Yes &lt;b&gt; &eacute;&#33;</p></article>', "<div" * 2000, "<b>" * 3000 + "deep"], trees)
     assert text[:2] == ["", ""] and text[4] == "Yes <b> é!"

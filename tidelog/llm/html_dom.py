@@ -54,18 +54,29 @@ class Page:
         self.depth, self.above, self.silent, self.link, self.nth, self.kids = [0], [0], [False], [False], [0], [0]
         self.chars, self.marks = [0.0], [0]
         self.runs: list[tuple[int, str]] = []
+        self.cuts: list[int] = []  # per run, how many block elements began or ended before it
         self._read(source or "")
 
     def _read(self, s: str) -> None:
         tag, parent, end, bits = self.tag, self.parent, self.end, self.bits
         stack = [0]
+        open_at: dict[str, list[int]] = {}  # depths of the open elements of each name, and of those in _SCOPE
+        scopes = open_at.setdefault("", [])
         at, n = 0, len(s)
+        self._cut = 0
 
         def close(depth: int) -> None:
             for k in stack[depth:]:
                 end[k] = len(tag)
+                open_at[tag[k]].pop()
+                if tag[k] in _SCOPE:
+                    scopes.pop()
+                self._cut += tag[k] not in INLINE and tag[k] not in SILENT
             del stack[depth:]
 
+        def deepest(names) -> int:
+            return max((open_at[t][-1] for t in names if open_at.get(t)), default=0)
+
         while at < n:
             m = _MARKUP.search(s, at) if s.find(">", at) >= 0 or s.find("<!", at) >= 0 else None
             stop = m.start() if m else n
@@ -81,10 +92,8 @@ class Page:
             if closes:
                 if name == "br":
                     self._run(stack[-1], " ")
-                for depth in range(len(stack) - 1, 0, -1):
-                    if tag[stack[depth]] == name:
-                        close(depth)
-                        break
+                if open_at.get(name):
+                    close(open_at[name][-1])
                 continue
             if name == "html":
                 continue
@@ -93,15 +102,9 @@ class Page:
                     self._run(stack[-1], " ")
                 if name != "hr":
                     continue
-            closing = _CLOSED_BY.get(name)
-            if closing or name in _CLOSES_P:
-                for depth in range(len(stack) - 1, 0, -1):
-                    open_tag = tag[stack[depth]]
-                    if closing and open_tag in closing or open_tag == "p" and name in _CLOSES_P:
-                        close(depth)
-                        break
-                    if open_tag in _SCOPE:
-                        break
+            depth = max(deepest(_CLOSED_BY.get(name, ())), deepest(("p",)) if name in _CLOSES_P else 0)
+            if depth and depth >= (scopes[-1] if scopes else 0):
+                close(depth)
             k, up = len(tag), stack[-1]
             tag.append(name)
             parent.append(up)
@@ -121,50 +124,51 @@ class Page:
                     for t in _TOKEN.findall(a[2] or a[3] or a[4] or ""):
                         own |= _GROUP_OF.get(t.lower(), 0)
             bits.append(own)
+            self._cut += name not in INLINE and name not in SILENT
             if name in _RAW and not attributes.endswith("/"):
                 over = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(s, at)
                 at = over.end() if over else n
             elif name not in VOID and not (attributes.endswith("/") and name in ("svg", "path")):
+                open_at.setdefault(name, []).append(len(stack))
+                if name in _SCOPE:
+                    scopes.append(len(stack))
                 stack.append(k)
-        close(0)
+        close(1)
+        end[0] = len(tag)
 
     def _run(self, k: int, text: str) -> None:
         self.runs.append((k, text))
+        self.cuts.append(self._cut)
         if not self.silent[k]:
             self.chars[k] += len(text) - text.count(" ") / 2
             self.marks[k] += text.count(".") + text.count(",") + text.count("?")
 
     def text(self, keep: np.ndarray) -> str:
-        """Blocks of the elements kept, their white space made single, joined by blank lines."""
+        """Blocks of the elements kept, their white space made single, joined by blank lines. A block ends where
+        any block element begins or ends."""
         tag, parent = self.tag, self.parent
         block_of: list[int] = [0] * len(tag)
         for k in range(1, len(tag)):
             block_of[k] = block_of[parent[k]] if tag[k] in INLINE else k
         blocks: list[str] = []
         now: list[str] = []
-        last = -1
+        last = (-1, 0)
 
         def flush() -> None:
-            words = " ".join(html.unescape("".join(now)).split())
+            words = " ".join("".join(now).split())
             if words:
                 blocks.append(words)
             now.clear()
 
-        for k, text in self.runs:
-            if not keep[k]:
-                continue
-            if block_of[k] != last or now and self._parted(now_at, k):
-                flush()
-            last = block_of[k]
-            now_at = k
-            now.append(text)
+        for (k, text), cut in zip(self.runs, self.cuts):
+            if keep[k]:
+                if (block_of[k], cut) != last:
+                    flush()
+                last = block_of[k], cut
+                now.append(html.unescape(text))  # one run at a time: a reference does not reach across markup
         flush()
         return "\n\n".join(blocks)
 
-    def _parted(self, a: int, b: int) -> bool:
-        """A block element ends between a run in a and a later one in b, of one block."""
-        return any(self.tag[k] not in INLINE for k in range(a + 1, b) if self.end[k] <= b and k > a)
-
 
 def figures(pages: list[Page]) -> np.ndarray:
     """One row of features per element of all pages, in order."""
