@@ -37,7 +37,7 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality_fm.fit(docs, _table(spark, sf_dir, "labels"))
-    scored = quality_fm.add_score(docs.select("doc_id", "text"), model, "score")
+    scored = quality_fm.add_score(docs.select("doc_id", "text", "n_chars"), model, "score")
     return scored.select("doc_id", quality_fm.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
