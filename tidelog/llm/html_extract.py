@@ -8,6 +8,7 @@ The trees are trained on pages that a seeded generator writes together with thei
 
 from __future__ import annotations
 
+import functools
 import random
 from dataclasses import dataclass
 
@@ -215,6 +216,7 @@ class _Labelled(Page):
         self.y[kept] = [int(y) for _, y in found]
 
 
+@functools.lru_cache(maxsize=4)
 def train(pages: int = 600, seed: int = 17, **options) -> Trees:
     """Trees fitted on `pages` generated pages; the same for the same seed."""
     got = [_Labelled(_Writer(seed * 100_003 + k).page()) for k in range(pages)]
