@@ -262,33 +262,9 @@ def _sent(packs: DataFrame, shared: DataFrame, length: int, buckets: int) -> Dat
     return both.applyInArrow(run, "pack long, bucket int, a binary, b binary, c binary, d binary")
 
 
-def first_representatives(texts: list[bytes], length: int) -> np.ndarray:
-    """Representative of each region, told from its first window."""
-    out = np.empty(len(texts), dtype=np.uint64)
-    for at in range(0, len(texts), 2048):
-        part = texts[at : at + 2048]
-        h = _gram_hashes(b"".join([t[:length] for t in part]) + b"\0" * (GRAM - 1)).reshape(-1, length)
-        out[at : at + len(part)] = h[:, : length - GRAM + 1].min(axis=1)
-    return out
-
-
 def smallest_holders(texts: list[bytes], low: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each region, per window start: the smallest of low[] among regions that hold the same window.
-
-    Windows of different representatives differ, so a region whose representative no other text has is
-    alone with its windows and is not sorted.
-    """
-    rep = first_representatives(texts, length)
-    _, at, n = np.unique(rep, return_inverse=True, return_counts=True)
-    held = [np.full(len(t) - length + 1, x) for t, x in zip(texts, low.tolist())]
-    met = np.flatnonzero(n[at] > 1)
-    if len(met):
-        for k, x in zip(met.tolist(), _sorted_holders([texts[k] for k in met.tolist()], low[met], length)):
-            held[k] = x
-    return held
-
-
-def _sorted_holders(texts: list[bytes], low: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each region, per window start: the smallest of low[] among regions that hold the same window, from
+    neighbours in the order of all suffixes."""
     lens = np.array([len(t) for t in texts], dtype=np.int64)
     joined = b"\0".join(texts)
     starts = np.cumsum(lens + 1) - lens - 1
@@ -462,8 +438,14 @@ def remove_repeats(docs: DataFrame, length: int = 50, pack_bytes: int = 4 << 20,
 
 
 def cut_repeats(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with the repeats cut out of text (characters whole) and n_chars, if there, counted anew."""
-    out = remove_repeats(docs, with_text=True, **options).withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept_text")))
+    """`docs` with the repeats cut out of text (characters whole) and n_chars, if there, counted anew.
+
+    Nulls stay null; every row and column of `docs` comes back, whatever the columns' names.
+    """
+    # columns named like a result step aside meanwhile
+    aside = {f.name: f"own {f.name} {len(docs.columns)}" for f in FOUND if f.name in docs.columns}
+    out = remove_repeats(docs.withColumnsRenamed(aside), with_text=True, **options)
+    out = out.withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept_text"))).drop(*[f.name for f in FOUND])
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)
