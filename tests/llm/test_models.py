@@ -31,8 +31,16 @@ def test_quality_held_out_accuracy(spark, odd, none):
     scored = quality_fm.add_score(docs, model).join(labels.select("doc_id", "quality"), "doc_id").toPandas()
     out = scored[[zlib.crc32(str(i).encode()) % 5 == 0 for i in scored.doc_id]]
     assert ((out._score >= 0.3) == (out.quality == 1)).mean() > 0.93
-    assert all(0 <= r["_score"] <= 1 for r in quality_fm.add_score(odd.drop("_score"), model).collect())
-    assert quality_fm.add_score(none.drop("_score"), model).count() == 0
+    assert all(0 <= r["_score"] <= 1 for r in quality_fm.add_score(odd, model).collect())
+    assert quality_fm.add_score(none, model).count() == 0
+    kept = quality_fm.keep_good(odd, labels, threshold=0.0, steps=2)
+    assert kept.schema == odd.schema and sorted(kept.collect(), key=repr) == sorted(odd.collect(), key=repr)
+    many = spark.createDataFrame([(1, f"text {k % 3}") for k in range(500)], "doc_id long, text string").unionByName(docs.select("doc_id", "text").filter("doc_id <> 1"))
+    taken = []
+    fit_rows, quality_fm.fit_rows = quality_fm.fit_rows, lambda rows, **o: taken.append(len(rows))
+    quality_fm.fit(many, spark.createDataFrame([(i, 1) for i in range(1, 40)], "doc_id long, quality int"))
+    quality_fm.fit_rows = fit_rows
+    assert taken == [sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(1, 40))]
     empty = labels.filter("false")
     assert quality_fm.fit(docs, empty).score("any text".encode()) == pytest.approx(0.5, abs=0.05)
 

@@ -12,7 +12,6 @@ Only a spanning forest leaves a task, never all pairs.
 from __future__ import annotations
 
 import math
-import zlib
 from fractions import Fraction
 
 import numpy as np
@@ -254,89 +253,67 @@ def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"), F.xxhash64(*whole).alias("whole"), *more)
 
 
-#: Counters of the sketch that tells common shingles from rare ones, whatever the number of documents.
-SKETCH = 1 << 20
-MARKS = ["kind", "doc_id", "key", "whole", "fp", "n", "blob"]
+#: The prefix of a set holds this share of it beyond what one common shingle needs.
+EXTRA = Fraction(1, 5)
+MARKS = ["doc_id", "key", "whole", "fp", "n", "first", "prefix"]
 
 
-def _marks(docs: DataFrame, words_per_shingle: int, seed: int) -> DataFrame:
-    """kind 0: doc_id, key, fp and n (distinct shingles) of each row; kind 1: a task's sketch of shingle counts."""
+def _marks(docs: DataFrame, words_per_shingle: int, similarity: Fraction, seed: int) -> DataFrame:
+    """doc_id, key, whole, fp, n (distinct shingles), prefix (the smallest hashes of the set) and first (how
+    many of these make two similar sets share one).
 
-    def run(batches):
-        sketch, late = np.zeros(SKETCH, dtype=np.int64), []
-        for b in batches:
-            fps, sizes = [], []
-            for text in b.column(2).cast(pa.binary()).to_pylist():
-                raw = _digests(text, words_per_shingle, seed)
-                fps.append(_majority(raw))
-                own = _shingle_set(raw)
-                sizes.append(len(own))
-                late.append((own % np.uint64(SKETCH)).astype(np.int32))
-                if len(own) > 1 << 16 or len(late) > 512:
-                    sketch += np.bincount(np.concatenate(late), minlength=SKETCH)
-                    late = []
-            n = len(fps)
-            data = [pa.array(np.zeros(n, np.int32)), b.column(0), b.column(1), b.column(3), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.nulls(n, pa.binary())]
-            yield pa.RecordBatch.from_arrays(data, names=MARKS)
-        if late:
-            sketch += np.bincount(np.concatenate(late), minlength=SKETCH)
-        if sketch.any():
-            blob = zlib.compress(np.minimum(sketch, (1 << 32) - 1).astype(np.uint32).tobytes(), 1)
-            none = pa.nulls(1, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), none, none, none, none, pa.nulls(1, pa.int32()), pa.array([blob], pa.binary())], names=MARKS)
-
-    return _keyed(docs).mapInArrow(run, "kind int, doc_id long, key long, whole long, fp long, n int, blob binary")
-
-
-def _sketch(marks: DataFrame, fanout: int = 16) -> np.ndarray:
-    """The sum of the tasks' sketches, each counter as an eighth of a power of two: SKETCH bytes."""
-
-    def add(batches):
-        total = np.zeros(SKETCH, dtype=np.uint64)
-        for b in batches:
-            for blob in b.column(0).to_pylist():
-                total += np.frombuffer(zlib.decompress(blob), dtype=np.uint64 if b.schema.names[0] == "sum" else np.uint32)
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["sum"])
-
-    def scale(batches):
-        for b in add(batches):
-            total = np.frombuffer(zlib.decompress(b.column(0)[0].as_py()), dtype=np.uint64)
-            small = np.minimum(8 * np.log2(total + 1.0), 255).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([small.tobytes()], pa.binary())], names=["small"])
-
-    parts = marks.filter("kind = 1").select("blob").repartition(fanout).mapInArrow(add, "sum binary")
-    rows = parts.repartition(1).mapInArrow(scale, "small binary").collect()  # one task adds `fanout` sums
-    return np.frombuffer(rows[0]["small"], dtype=np.uint8) if rows else np.zeros(SKETCH, np.uint8)
-
-
-def prefix(own: np.ndarray, sketch: np.ndarray, similarity: Fraction) -> np.ndarray:
-    """The rarest shingles of a set, as many as make two sets of that Jaccard similarity share one."""
-    most = len(own) - math.ceil(similarity * len(own)) + 1
-    return own[np.argsort(sketch[own % np.uint64(SKETCH)], kind="stable")[:most]]
-
-
-def _grams(docs: DataFrame, sketch: np.ndarray, words_per_shingle: int, similarity: Fraction, seed: int) -> DataFrame:
-    """(shingle, key): the prefix of each text; a task sends a text that it meets again only once."""
-    sent = docs.sparkSession.sparkContext.broadcast(sketch)
+    With o >= similarity * n common shingles, the l-th smallest of them is among the n - o + l smallest of
+    either set; the prefix takes l = EXTRA * n. A task sends a text that it meets again without its prefix.
+    """
 
     def run(batches):
         seen: set = set()
-        for b in batches:
-            keys, flat = [], []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
-                if key in seen:
-                    continue
-                if len(seen) > 100_000:
-                    seen.clear()
-                seen.add(key)
-                own = prefix(_shingle_set(_digests(text, words_per_shingle, seed)), sent.value, similarity)
-                keys.append(np.full(len(own), key, dtype=np.int64))
-                flat.append(own)
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(flat).view(np.int64)), pa.array(np.concatenate(keys))], names=["shingle", "key"])
-
-    return _keyed(docs).select("key", "text").mapInArrow(run, "shingle long, key long")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                fps, sizes, firsts, prefixes = [], [], [], []
+                for key, text in zip(b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()):
+                    raw = _digests(text, words_per_shingle, seed)
+                    own = _shingle_set(raw)
+                    n = len(own)
+                    fps.append(_majority(raw))
+                    sizes.append(n)
+                    firsts.append(n - math.ceil(similarity * n) + 1)
+                    prefixes.append(own[:0] if key in seen else own[: n - math.ceil(similarity * n) + math.ceil(EXTRA * n)])
+                    if len(seen) > 100_000:
+                        seen.clear()
+                    seen.add(key)
+                ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
+                flat = np.concatenate(prefixes).view(np.int64)
+                data = [b.column(0), b.column(1), b.column(3), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(firsts, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                yield pa.RecordBatch.from_arrays(data, names=MARKS)
+
+    return _keyed(docs).mapInArrow(run, "doc_id long, key long, whole long, fp long, n int, first int, prefix array<long>")
+
+
+def _candidates(marks: DataFrame, texts: DataFrame, similarity: Fraction, rounds: int = 4) -> DataFrame:
+    """(shingle, key) of the texts that can have a near copy, for the first shingles of each.
+
+    A text with a near copy shares EXTRA * n' shingles of its prefix with it, where n' >= similarity * n is
+    the smaller of the two sets' sizes. Texts that share fewer with all others together are dropped, and as
+    that may leave others alone, again; stopping early keeps more texts, never fewer.
+    """
+    shared = Window.partitionBy("shingle")
+    rows = marks.select("key", "first", F.posexplode("prefix").alias("at", "shingle")).select("shingle", "key", (F.col("at") < F.col("first")).alias("early"))
+    both = rows.withColumn("_a", F.min("key").over(shared)).withColumn("_b", F.max("key").over(shared)).filter("_a < _b")
+    now = Staged(both.select("shingle", "key", "early").distinct(), "shared").read()
+    # a double is exact enough: rounded down, it asks for less
+    need = texts.select(F.col("key").alias("_k"), F.ceil(F.ceil(F.col("n") * float(similarity) - 1e-6) * float(EXTRA) - 1e-6).alias("_need"))
+    left = now.count()
+    for _ in range(rounds):
+        able = now.groupBy("key").agg(F.count("*").alias("_n")).join(need, F.col("key") == F.col("_k")).filter("_n >= _need").select("key")
+        rest = now.join(able, "key", "left_semi")
+        met = rest.groupBy("shingle").agg(F.min("key").alias("_a"), F.max("key").alias("_b")).filter("_a < _b").select("shingle")
+        now = Staged(rest.join(met, "shingle", "left_semi"), "shared").read()
+        before, left = left, now.count()
+        if left > 0.95 * before:
+            break
+    return now.filter("early").select("shingle", "key")
 
 
 def _sets(docs: DataFrame, keys: DataFrame, words_per_shingle: int, seed: int) -> DataFrame:
@@ -344,10 +321,12 @@ def _sets(docs: DataFrame, keys: DataFrame, words_per_shingle: int, seed: int) -
 
     def run(batches):
         for b in batches:
-            sets = [_shingle_set(_digests(t, words_per_shingle, seed)) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-            flat = np.concatenate(sets or [np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["key", "shingles"])
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                sets = [_shingle_set(_digests(t, words_per_shingle, seed)) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+                flat = np.concatenate(sets).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["key", "shingles"])
 
     found = _keyed(docs).select("key", "text").join(keys, "key", "left_semi")
     return found.mapInArrow(run, "key long, shingles array<long>").dropDuplicates(["key"])
@@ -414,11 +393,8 @@ def near_copies(docs: DataFrame, marks: DataFrame, d: int, words_per_shingle: in
     linked by chains, never by all its pairs.
     """
     spark = docs.sparkSession
-    grams = _grams(docs, _sketch(marks), words_per_shingle, similarity, seed)
-    shared = Window.partitionBy("shingle")
-    met = grams.withColumn("_low", F.min("key").over(shared)).withColumn("_high", F.max("key").over(shared)).filter("_low < _high").select("shingle", "key").distinct()
-    texts = marks.filter("kind = 0").groupBy("key").agg(F.first("fp").alias("fp"), F.first("n").alias("n"))
-    groups = Staged(met.join(texts, "key"), "groups").read()
+    texts = Staged(marks.groupBy("key").agg(F.first("fp").alias("fp"), F.first("n").alias("n")), "texts").read()
+    groups = Staged(_candidates(marks, texts, similarity).join(texts, "key"), "groups").read()
     counts = groups.groupBy("shingle").agg(F.count("*").alias("_size"))
     groups = Staged(groups.join(counts, "shingle").withColumn("_blocks", F.ceil(F.col("_size") / block)).drop("_size"), "sized").read()
     keys = Staged(groups.select("key").distinct(), "keys").read()
@@ -451,15 +427,15 @@ def keep_one(docs: DataFrame, d: int = 20, words_per_shingle: int = 5, similarit
 
     Texts are linked whose fingerprints differ in at most d bits and whose sets of shingles have that
     Jaccard similarity, which is computed for every candidate. The Gray-order index runs among the texts
-    that share a shingle of their prefixes, the rarest fifth of their shingles; similar sets always share
-    one, so this loses no link. Texts without words are alike. Null ids come last; of rows alike in id and
+    that share a shingle of their prefixes and enough of them to be similar to any other text; similar
+    sets always do, so this loses no link. Texts without words are alike. Null ids come last; of rows alike in id and
     text the one whose columns, as JSON, have the smallest hash stays. Equal texts are told by a 64-bit
     hash. An empty table gives no rows. Columns may have any names.
     """
     share = Fraction(str(similarity))
-    marks = staged(_marks(docs, words_per_shingle, seed), "marks")
+    marks = staged(_marks(docs, words_per_shingle, share, seed), "marks")
     roots = near_copies(docs, marks, d, words_per_shingle, share, seed)
-    own = marks.filter("kind = 0").groupBy("key", "doc_id", "whole").agg(F.count("*").alias("alike"))
+    own = marks.groupBy("key", "doc_id", "whole").agg(F.count("*").alias("alike"))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "whole", "alike")
     firsts = own.groupBy("key").agg(F.min(first).alias("first"))
     known = firsts.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
