@@ -152,6 +152,16 @@ def test_suffix_ranks():
         t = rng.integers(1, 4, n)
         order = sorted(range(n), key=lambda i: t[i:].tolist())
         assert [order[r] for r in range(n)] == np.argsort(suffix_dedup.suffix_ranks(t)).tolist()
+    for n in (3, 10, 100, 1000, 4000):
+        for top in (3, 60, 400):
+            piece = rng.integers(1, top, 40)
+            t = np.concatenate([rng.integers(1, top, n)] + [piece[rng.integers(0, 9) :] for _ in range(n // 50)])
+            for need in (2, 3, 5, 9, 20, 50):
+                order = np.argsort(suffix_dedup.suffix_ranks(t, need), kind="stable")
+                heads = [t[i : i + need].tolist() for i in order]
+                assert heads == sorted(heads)
+            whole = np.argsort(suffix_dedup.suffix_ranks(t))
+            assert whole.tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
 
 
 def plain_removal(rows, length=50):

@@ -140,13 +140,15 @@ class GrayIndex:
             n_kids = np.searchsorted(below[0], end[node]) - first
             kid = np.repeat(first - np.r_[0, n_kids.cumsum()[:-1]], n_kids) + np.arange(n_kids.sum())
             query, node, away = np.repeat(query, n_kids), np.repeat(node, n_kids), np.repeat(away, n_kids)
-            on = below[1][kid] > query  # each pair once, from its earlier code
+            on = below[1][kid] - 1 > query  # each pair once, from its earlier code
             query, node, away, kid = query[on], node[on], away[on], kid[on]
             away = away + np.bitwise_count((code[query] ^ below[3][kid]) & below[2][kid] & ~shared[node])
             on = away <= d
             query, node, away = query[on], kid[on], away[on]
             start, end, shared, pattern = below
-        leaf = start[node]
+        many = end[node] - start[node]  # equal codes share a leaf
+        leaf = np.repeat(start[node] - (many.cumsum() - many), many) + np.arange(many.sum())
+        query = np.repeat(query, many)
         on = leaf > query
         return query[on], leaf[on]
 
@@ -317,109 +319,88 @@ def _candidates(marks: DataFrame, texts: DataFrame, similarity: Fraction, rounds
 
 
 def _sets(docs: DataFrame, keys: DataFrame, words_per_shingle: int, seed: int) -> DataFrame:
-    """key, n and the shingle set of the texts of `keys`; a text may come more than once."""
+    """key and the shingle set, as bytes, of the texts of `keys`; a task sends a text once."""
 
     def run(batches):
+        seen: set = set()
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                sets = [_shingle_set(_digests(t, words_per_shingle, seed)) for t in part.column(1).cast(pa.binary()).to_pylist()]
-                ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-                flat = np.concatenate(sets).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["key", "shingles"])
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+                if key not in seen:
+                    seen.add(key)
+                    own = _shingle_set(_digests(text, words_per_shingle, seed))
+                    yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([own.tobytes()], pa.binary())], names=["key", "shingles"])
 
-    found = _keyed(docs).select("key", "text").join(keys, "key", "left_semi")
-    return found.mapInArrow(run, "key long, shingles array<long>").dropDuplicates(["key"])
+    return _keyed(docs).select("key", "text").join(keys, "key", "left_semi").mapInArrow(run, "key long, shingles binary")
 
 
-def _pairs(cells: DataFrame, d: int, similarity: Fraction, reach: int | None) -> DataFrame:
-    """Pairs (a, b) of keys of different classes in one cell that are within d bits and whose sizes allow the
-    similarity: the next `reach` in Gray order, or, without `reach`, all that the index finds."""
+def similar_links(code: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, d: int, similarity: Fraction) -> list[tuple[int, int]]:
+    """A spanning forest of the texts within d bits whose sets have the similarity, which is computed for every
+    such pair the index finds unless it is linked already. With `side`, only pairs of different sides count."""
     up, down = similarity.numerator, similarity.denominator
-
-    def run(batches):
-        parts = [pa.Table.from_batches([b]) for b in batches]
-        if not parts:
-            return
-        t = pa.concat_tables(parts)
-        shingle, low, high, block, key, root, n = (t.column(c).to_numpy() for c in ("shingle", "low", "high", "block", "key", "root", "n"))
-        code = t.column("fp").to_numpy().view(np.uint64)
-        order = np.lexsort((high, low, shingle))
-        moved = np.ones(len(order), dtype=bool)
-        moved[1:] = (np.diff(shingle[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
-        group = np.empty(len(order), dtype=np.int64)
-        group[order] = np.cumsum(moved) - 1
-        found: list[np.ndarray] = []
-
-        def put(i, j):
-            on = (root[i] != root[j]) & (np.bitwise_count(code[i] ^ code[j]) <= d)
-            on &= down * np.minimum(n[i], n[j]) >= up * np.maximum(n[i], n[j])
-            on &= (low[i] == high[i]) | (block[i] != block[j])  # two blocks of a group meet once, each alone once
-            found.append(np.unique(np.stack([np.minimum(key[i], key[j])[on], np.maximum(key[i], key[j])[on]], axis=1), axis=0))
-
-        if reach:
-            turn = np.lexsort((key, gray_rank(code), group))
-            for step in range(1, reach + 1):
-                i, j = turn[:-step], turn[step:]
-                same = group[i] == group[j]
-                put(i[same], j[same])
-        else:
-            for i, j in GrayIndex(code, group).near(d):
-                put(i, j)
-        both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        for at in range(0, len(both), 1 << 16):
-            part = both[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["a", "b"])
-
-    return cells.repartition("shingle", "low", "high").mapInArrow(run, "a long, b long")
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
-    """The pairs whose shingle sets have the similarity, computed exactly."""
-    one = sets.select(F.col("key").alias("a"), F.col("shingles").alias("_x"))
-    two = sets.select(F.col("key").alias("b"), F.col("shingles").alias("_y"))
-    met = pairs.join(one, "a").join(two, "b").withColumn("_both", F.size(F.array_intersect("_x", "_y")).cast("long"))
-    whole = F.size("_x") + F.size("_y") - F.col("_both")
-    return met.filter(F.col("_both") * similarity.denominator >= whole * similarity.numerator).select("a", "b")
-
-
-def near_copies(docs: DataFrame, marks: DataFrame, d: int, words_per_shingle: int, similarity: Fraction, seed: int, block: int = 4096) -> DataFrame:
+    n = np.array([len(x) for x in sets], dtype=np.int64)
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1] if sets else np.zeros(0, np.int64)
+    first = n.cumsum() - n
+    held = np.zeros(int(number.max(initial=-1)) + 1, dtype=bool)
+    root = np.arange(len(sets))
+    links: list[tuple[int, int]] = []
+    for left, right in GrayIndex(code, np.zeros(len(code), dtype=np.int64)).near(d):
+        on = (root[left] != root[right]) & (down * np.minimum(n[left], n[right]) >= up * np.maximum(n[left], n[right]))
+        if side is not None:
+            on &= side[left] != side[right]
+        left, right = left[on], right[on]
+        order = np.argsort(left, kind="stable")
+        left, right = left[order], right[order]
+        edge = np.flatnonzero(np.r_[True, left[1:] != left[:-1], True]) if len(left) else [0]
+        for a, b in zip(edge[:-1], edge[1:]):
+            i = int(left[a])
+            own = number[first[i] : first[i] + n[i]]
+            held[own] = True
+            for at in range(a, b, 128):
+                j = right[at : min(b, at + 128)]
+                j = j[root[j] != root[i]]
+                if not len(j):
+                    continue
+                size = n[j]
+                start = size.cumsum() - size
+                both = np.add.reduceat(held[number[np.repeat(first[j] - start, size) + np.arange(size.sum())]].astype(np.int64), start)
+                for k in j[both * down >= up * (n[i] + size - both)].tolist():
+                    if root[k] != root[i]:
+                        links.append((i, k))
+                        root[root == root[k]] = root[i]
+            held[own] = False
+    return links
+
+
+def near_copies(docs: DataFrame, marks: DataFrame, d: int, words_per_shingle: int, similarity: Fraction, seed: int, block: int = 2048, block_shingles: int = 2_000_000) -> DataFrame:
     """(node, root) of the texts (keys) that have near copies: root is one key of each group.
 
-    Texts meet in groups that share a prefix shingle. Groups are cut into cells of about `block` texts; three
-    rounds look for pairs of texts not yet linked, first among neighbours in Gray order, under two different
-    cuts, then among all that the index finds, each two blocks of a group together. A pair is counted once
-    its similarity is computed, so pairs that fail never hide others, and a large group of near copies is
-    linked by chains, never by all its pairs.
+    Texts that share first shingles, directly or through others, form clusters, and only texts of one cluster
+    can be similar. A cluster is cut into blocks of bounded size, and each two of its blocks, and each block
+    alone, meet in a task of their own: there the index finds the pairs within d bits, and their similarity is
+    computed on the whole sets. Only a spanning forest leaves a task.
     """
-    spark = docs.sparkSession
     texts = Staged(marks.groupBy("key").agg(F.first("fp").alias("fp"), F.first("n").alias("n")), "texts").read()
-    groups = Staged(_candidates(marks, texts, similarity).join(texts, "key"), "groups").read()
-    counts = groups.groupBy("shingle").agg(F.count("*").alias("_size"))
-    groups = Staged(groups.join(counts, "shingle").withColumn("_blocks", F.ceil(F.col("_size") / block)).drop("_size"), "sized").read()
-    keys = Staged(groups.select("key").distinct(), "keys").read()
-    sets = Staged(_sets(docs, keys, words_per_shingle, seed), "sets").read()
-    edges = spark.createDataFrame([], "a long, b long")
-    tried, roots = edges, None
-    for turn, reach in ((1, 2), (2, 8), (3, None)):
-        rows = groups if roots is None else groups.join(roots, F.col("key") == F.col("node"), "left").drop("node")
-        rows = rows.withColumn("root", F.col("key") if roots is None else F.coalesce("root", "key"))
-        open_ = rows.groupBy("shingle").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a < _b").select("shingle")
-        rows = rows.join(open_, "shingle", "left_semi").withColumn("block", F.pmod(F.xxhash64(F.lit(turn), "key"), F.col("_blocks")).cast("int"))
-        if reach:
-            cells = rows.withColumn("low", F.col("block")).withColumn("high", F.col("block"))
-        else:
-            cells = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks").cast("int") - 1)))
-            cells = cells.withColumn("low", F.least("block", "_other")).withColumn("high", F.greatest("block", "_other"))
-        fresh = _pairs(cells.select("shingle", "low", "high", "block", "key", "root", "fp", "n"), d, similarity, reach).distinct()
-        pairs = Staged(fresh.join(tried, ["a", "b"], "left_anti"), "pairs").read()
-        good = Staged(_similar(pairs, sets, similarity), "similar").read()
-        tried = tried.unionByName(pairs)
-        if good.isEmpty():
-            continue
-        edges = edges.unionByName(good)
-        roots = components(edges)
-    return roots if roots is not None else spark.createDataFrame([], "node long, root long")
+    groups = Staged(_candidates(marks, texts, similarity), "groups").read()
+    least = groups.groupBy("shingle").agg(F.min("key").alias("b"))
+    clusters = components(groups.select("shingle", F.col("key").alias("a")).join(least, "shingle").select("a", "b"))
+    every = clusters.select(F.col("node").alias("own"), "root").unionByName(clusters.select(F.col("root").alias("own"), "root").distinct())
+    members = Staged(texts.join(every, F.col("key") == F.col("own")).drop("own"), "members").read()
+    size = members.groupBy("root").agg(F.count("*").alias("_k"), F.sum("n").alias("_n")).select(F.col("root").alias("_r"), F.ceil(F.greatest(F.col("_k") / block, F.col("_n") / block_shingles)).cast("int").alias("blocks"))
+    placed = members.join(size, F.col("root") == F.col("_r")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).drop("_r")
+    sets = Staged(_sets(docs, members.select("key"), words_per_shingle, seed), "sets").read()
+    whole = placed.join(sets, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = whole.select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "key", "fp", "block", "shingles")
+
+    def run(t):
+        t = t.combine_chunks()
+        key, one = np.unique(t.column("key").to_numpy(), return_index=True)
+        block_of = t.column("block").to_numpy()[one]
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in t.column("shingles").take(pa.array(one)).to_pylist()]
+        side = None if t.column("low")[0].as_py() == t.column("high")[0].as_py() else block_of
+        found = similar_links(t.column("fp").to_numpy()[one].view(np.uint64), sets, side, d, similarity)
+        return pa.table([pa.array(key[[i for i, _ in found]], pa.int64()), pa.array(key[[j for _, j in found]], pa.int64())], names=["a", "b"])
+
+    return components(cells.groupBy("root", "low", "high").applyInArrow(run, "a long, b long"))
 
 
 def keep_one(docs: DataFrame, d: int = 20, words_per_shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
