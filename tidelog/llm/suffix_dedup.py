@@ -40,8 +40,22 @@ def _join(high: np.ndarray, low: np.ndarray, low_size: int) -> np.ndarray:
     return high * low_size + low
 
 
-def suffix_ranks(t: np.ndarray) -> np.ndarray:
-    """Rank of every suffix of t (integers from 1 on) by the difference cover {1, 2} modulo 3."""
+def _names(a: np.ndarray, b: np.ndarray, c: np.ndarray, size: int) -> np.ndarray:
+    """Numbers of the triples (a, b, c), ordered as the triples; equal ones share a number."""
+    if size**3 <= 1 << 25:  # a table of all triples takes the place of sorting them
+        key = (a * size + b) * size + c
+        there = np.zeros(size**3, dtype=np.int32)
+        there[key] = 1
+        return (np.cumsum(there, dtype=np.int32) - 1)[key].astype(np.int64)
+    return _dense(_join(_join(a, b, size), c, size))
+
+
+def suffix_ranks(t: np.ndarray, need: int | None = None) -> np.ndarray:
+    """Rank of every suffix of t (integers from 1 on) by the difference cover {1, 2} modulo 3.
+
+    With `need`, only the first `need` integers must be in order: the recursion ends once its names cover
+    them, and suffixes that agree that far stand together in any order.
+    """
     n = len(t)
     if n < 3:
         order = sorted(range(n), key=lambda i: t[i:].tolist())
@@ -52,30 +66,35 @@ def suffix_ranks(t: np.ndarray) -> np.ndarray:
     text = np.r_[t.astype(np.int64), 0, 0, 0, 0]
     size = int(text.max()) + 1
     sample = np.r_[np.arange(1, end, 3), np.arange(2, end, 3)]
-    names = _dense(_join(_join(text[sample], text[sample + 1], size), text[sample + 2], size))
+    names = _names(text[sample], text[sample + 1], text[sample + 2], size)
     if int(names.max()) + 1 < len(names):
-        names = suffix_ranks(names + 1)
+        if need is not None and need <= 3:
+            turn = np.argsort(names, kind="stable")
+            names[turn] = np.arange(len(names))
+        else:
+            names = suffix_ranks(names + 1, None if need is None else -(-need // 3))
+            if need is not None:  # places taken twice by suffixes that agree
+                turn = np.argsort(names, kind="stable")
+                names[turn] = np.arange(len(names))
     rank = np.zeros(n + 4, dtype=np.int64)
     rank[sample] = names + 1
     top = len(sample) + 2
-    zero, one, two = np.arange(0, n, 3), np.arange(1, n, 3), np.arange(2, n, 3)
-    pair = np.concatenate([zero, one])
-    by_one = _join(text[pair], rank[pair + 1], top)
-    zero_1, one_1 = by_one[: len(zero)], np.sort(by_one[len(zero) :])
-    pair = np.concatenate([zero, two])
-    by_two = _join(_join(text[pair], text[pair + 1], size), rank[pair + 2], top)
-    zero_2, two_2 = by_two[: len(zero)], np.sort(by_two[len(zero) :])
-    # each third is visited in suffix order, so that the searches run through sorted keys
-    turn = np.argsort(zero_1, kind="stable")
-    zero_1, zero_2 = zero_1[turn], zero_2[turn]
-    out = np.empty(n, dtype=np.int64)
-    out[zero[turn]] = np.arange(len(zero)) + np.searchsorted(one_1, zero_1) + np.searchsorted(two_2, zero_2)
     placed = np.empty(len(sample), dtype=np.int64)
     placed[names] = sample
     placed = placed[end - n :]  # without the empty suffix, the smallest
-    for part, keys, zeros in ((1, one_1, zero_1), (2, two_2, zero_2)):
-        at = np.flatnonzero(placed % 3 == part)
-        out[placed[at]] = at + np.searchsorted(zeros, keys)
+    ones, twos = np.flatnonzero(placed % 3 == 1), np.flatnonzero(placed % 3 == 2)
+    one, two = placed[ones], placed[twos]  # in suffix order, so that their keys below are sorted as they are
+    zero = one - 1 if n % 3 != 1 else np.r_[n - 1, one - 1]
+    head = text[zero]
+    zero = zero[np.argsort(head.astype(np.uint16) if size <= 1 << 16 else head, kind="stable")]  # each third in suffix order
+    zero_1, one_1 = _join(text[zero], rank[zero + 1], top), _join(text[one], rank[one + 1], top)
+    pair = np.concatenate([zero, two])
+    by_two = _join(_join(text[pair], text[pair + 1], size), rank[pair + 2], top)
+    zero_2, two_2 = by_two[: len(zero)], by_two[len(zero) :]
+    out = np.empty(n, dtype=np.int64)
+    out[zero] = np.arange(len(zero)) + np.searchsorted(one_1, zero_1) + np.searchsorted(two_2, zero_2)
+    out[one] = ones + np.searchsorted(zero_1, one_1)
+    out[two] = twos + np.searchsorted(zero_2, two_2)
     return out
 
 
@@ -270,7 +289,7 @@ def smallest_holders(texts: list[bytes], low: np.ndarray, length: int) -> list[n
     starts = np.cumsum(lens + 1) - lens - 1
     codes = np.frombuffer(joined, dtype=np.uint8).astype(np.int64) + 2
     codes[(starts + lens)[:-1]] = 1  # between texts: below every byte
-    rank = suffix_ranks(codes)
+    rank = suffix_ranks(codes, length)
     windows = lens - length + 1
     at = np.repeat(starts - np.r_[0, windows.cumsum()[:-1]], windows) + np.arange(windows.sum())
     owner = np.repeat(np.arange(len(texts)), windows)
