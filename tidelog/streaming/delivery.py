@@ -1,8 +1,9 @@
 """Delivery disciplines on Structured Streaming.
 
-A log's published folders are read by the file source. The log's manifest, not the stream's checkpoint, says
-what is committed: take writes the cursor before the rows are handed out (at most once), reserve after the
-handler returns (at least once).
+The stream's source is the log's folder of manifests: a record reaches a handler only when a manifest names it,
+and what a crash left behind is never seen. The log's manifest, not the stream's checkpoint, says what is
+committed: take writes the cursor before the rows are handed out (at most once), reserve after the handler
+returns (at least once).
 """
 
 from __future__ import annotations
@@ -13,32 +14,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.store import SCHEMA, DurableLog
+from ..sources.store import DurableLog
 
 
-def stream(log: DurableLog) -> DataFrame:
-    """Unread records of the log as a stream; records below the commit cursor are pruned."""
-    rows = log.spark.readStream.schema(SCHEMA).parquet(f"{log.path}/data")
-    return rows.filter(F.col("start_off") >= log.state.commit_off)
+def published(log: DurableLog) -> DataFrame:
+    """The log's manifests as a stream: epoch, write_off, commit_off."""
+    text = log.spark.readStream.option("wholetext", True).text(f"{log.path}/manifest")
+    return text.select(F.from_json("value", "epoch long, write_off long, commit_off long").alias("m")).select("m.*")
 
 
-def _start(log: DurableLog, each: Callable[[DataFrame, int], None], checkpoint: str, every: str | None) -> StreamingQuery:
-    writer = stream(log).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+def _start(log: DurableLog, each: Callable[[DataFrame], None], checkpoint: str, every: str | None) -> StreamingQuery:
+    def batch(manifests: DataFrame, _: int) -> None:
+        end = manifests.agg(F.max("write_off")).first()[0]
+        if end is not None:
+            with log._change:
+                each(log.frames(max(log.head_off, log.state.commit_off)).filter(F.col("end_off") <= end))
+
+    writer = published(log).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def _seen(log: DurableLog, rows: DataFrame) -> int | None:
+    """Moves the head past the rows; the offset behind them, None where there are none."""
+    end, last, n = rows.agg(F.max("end_off"), F.max("seq"), F.count("*")).first()
+    if not n:
+        return None
+    log.head_off, log.n_head = end, last + 1
+    log.counters["delivered"] += n
+    return end
+
+
 def take(log: DurableLog, handler: Callable[[DataFrame], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
     """At most once: the cursor is committed before `handler` sees a batch. Without `every` this drains."""
 
-    def each(rows: DataFrame, _: int) -> None:
-        fresh = rows.filter(F.col("start_off") >= log.state.commit_off)
-        end, n = fresh.agg(F.max("end_off"), F.count("*")).first()
-        if n:
-            fresh = fresh.filter(F.col("start_off") >= log.state.commit_off)
-            log.head_off, log.n_head = end, log.n_head + n
-            log.counters["delivered"] += n
+    def each(rows: DataFrame) -> None:
+        end = _seen(log, rows)
+        if end is not None:
             log._commit_to(end, reclaim=False)
-            handler(log.decoded(fresh).filter("_ok").orderBy("seq"))
+            handler(log.decoded(rows).filter("_ok").orderBy("seq"))
 
     return _start(log, each, checkpoint, every)
 
@@ -46,13 +59,12 @@ def take(log: DurableLog, handler: Callable[[DataFrame], None], checkpoint: str,
 def reserve(log: DurableLog, handler: Callable[[DataFrame], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
     """At least once: the cursor is committed after `handler` has returned."""
 
-    def each(rows: DataFrame, _: int) -> None:
-        fresh = rows.filter(F.col("start_off") >= log.state.commit_off)
-        end, n = fresh.agg(F.max("end_off"), F.count("*")).first()
-        if n:
-            handler(log.decoded(fresh).filter("_ok").orderBy("seq"))
-            log.head_off, log.n_head = end, log.n_head + n
-            log.counters["delivered"] += n
+    def each(rows: DataFrame) -> None:
+        if rows.isEmpty():
+            return
+        handler(log.decoded(rows).filter("_ok").orderBy("seq"))
+        end = _seen(log, rows)
+        if end is not None:
             log._commit_to(end, reclaim=False)
 
     return _start(log, each, checkpoint, every)
