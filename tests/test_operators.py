@@ -79,3 +79,44 @@ def test_codec_error(spark):
     df = spark.createDataFrame([('{"a": 1}',), ("nonsense",)], "payload string")
     got = {r["payload"]: (r["_codec_error"], r["value"]) for r in codec.with_codec_error(df, "payload", "a long").collect()}
     assert got["nonsense"][0] and not got['{"a": 1}'][0] and got['{"a": 1}'][1]["a"] == 1
+
+
+def _log_of(spark, sizes):
+    rows, end = [], {}
+    for i, (q, n) in enumerate(sizes):
+        end[q] = end.get(q, 0) + n
+        rows.append((q, sum(1 for x, _ in sizes[:i] if x == q), end[q] - n, end[q], n))
+    return spark.createDataFrame(rows, "queue_id string, seq long, start_off long, end_off long, framed_len long").repartition(3)
+
+
+def test_segments_are_the_same_in_any_chunk(spark):
+    rng = np.random.default_rng(7)
+    for _ in range(3):
+        sizes = [("ab"[int(rng.integers(0, 2))], int(rng.choice([9, 20, 31, 55, 130], p=[0.3, 0.3, 0.2, 0.15, 0.05]))) for _ in range(120)]
+        f = _log_of(spark, sizes)
+        want = {}
+        for q in "ab":
+            own = [n for x, n in sizes if x == q]
+            end = np.cumsum(own, dtype=np.int64)
+            found = layout.segment_starts(end - own, end, 100)
+            for k in range(len(own)):
+                at, number, room = max(s for s in found if s[0] <= k)
+                want[q, k] = (number, int(end[at] - own[at]), room)
+        for chunk in (1, 4, 13, 1000):
+            got = {(r["queue_id"], r["seq"]): (r["segment"], r["base"], r["capacity"]) for r in layout.with_segments(f, 100, chunk=chunk).collect()}
+            assert got == want
+
+
+def test_lookup_and_frontier_are_the_same_in_any_span(spark):
+    rng = np.random.default_rng(8)
+    f = _log_of(spark, [("ab"[i % 2], int(rng.integers(9, 90))) for i in range(80)])
+    rows = {(r["queue_id"], r["start_off"]): r for r in f.collect()}
+    last = {q: max(r["end_off"] for (x, _), r in rows.items() if x == q) for q in "ab"}
+    asked = spark.createDataFrame([(q, off) for q in "ab" for off in range(0, last[q] + 5, 3)], "queue_id string, off long")
+    want = sorted((q, off, max(s for x, s in rows if x == q and s <= off)) for q, off in asked.collect() if off < last[q])
+    held = f.withColumn("acked", F.expr("seq not in (25, 31)")).filter("queue_id = 'a' or seq <> 12")
+    stop = {"a": next(r["start_off"] for (q, _), r in rows.items() if q == "a" and r["seq"] == 25), "b": next(r["start_off"] for (q, _), r in rows.items() if q == "b" and r["seq"] == 12)}
+    for span in (7, 100, 1 << 26):
+        got = layout.lookup(f, asked, columns=("seq", "start_off", "end_off"), span=span).select("queue_id", "off", "start_off").collect()
+        assert sorted(tuple(r) for r in got) == want
+        assert {r["queue_id"]: r["frontier"] for r in ledger.frontier(held, span=span).collect()} == stop

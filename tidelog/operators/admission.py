@@ -49,4 +49,4 @@ def first_refused_by_segments(frames: DataFrame, max_segments: int, queue: str =
     """Per queue the first record that would need one segment too many, nothing being committed; -1: none."""
     over = F.min(F.when(F.col("segment") - F.col("_least") >= max_segments, F.col("seq")))
     least = frames.groupBy(queue).agg(F.min("segment").alias("_least"))
-    return frames.join(F.broadcast(least), queue).groupBy(queue).agg(F.coalesce(over, F.lit(-1).cast("long")).alias("first_refused"))
+    return frames.join(least, queue).groupBy(queue).agg(F.coalesce(over, F.lit(-1).cast("long")).alias("first_refused"))

@@ -6,16 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def frontier(ledger: DataFrame, commit_off: Column | int = 0, queue: str = "queue_id") -> DataFrame:
+def frontier(ledger: DataFrame, commit_off: Column | int = 0, queue: str = "queue_id", span: int = 1 << 26) -> DataFrame:
     """Per queue the end of the longest run of acknowledged, adjoining reservations from the commit cursor on.
 
-    `ledger` has start_off, end_off, acked; a gap stops the run as an unacknowledged entry does.
+    `ledger` has start_off, end_off, acked; a gap stops the run as an unacknowledged entry does. Entries are
+    cut into spans of `span` bytes by their end, so a long ledger is spread over tasks; the first of a span
+    follows the last of the spans before.
     """
     base = F.lit(commit_off) if isinstance(commit_off, int) else commit_off
-    live = ledger.withColumn("_c", base.cast("long")).filter("end_off > _c")
-    w = Window.partitionBy(queue).orderBy("end_off")
-    stop = ~F.col("acked") | (F.col("start_off") > F.coalesce(F.lag("end_off").over(w), F.col("_c")))
-    marked = live.withColumn("_stop", F.when(stop, F.coalesce(F.lag("end_off").over(w), F.col("_c"))))
+    live = ledger.withColumn("_c", base.cast("long")).filter("end_off > _c").withColumn("_span", F.floor(F.col("end_off") / span))
+    earlier = Window.partitionBy(queue).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    ends = live.groupBy(queue, "_span").agg(F.max("end_off").alias("_e"))
+    ends = ends.select(F.col(queue).alias("_q"), F.col("_span").alias("_s"), F.max("_e").over(earlier).alias("_before"))
+    w = Window.partitionBy(queue, "_span").orderBy("end_off")
+    marked = live.withColumn("_lag", F.lag("end_off").over(w)).join(ends, (F.col(queue) == F.col("_q")) & (F.col("_span") == F.col("_s")))
+    previous = F.coalesce("_lag", "_before", "_c")
+    marked = marked.withColumn("_stop", F.when(~F.col("acked") | (F.col("start_off") > previous), previous))
     return marked.groupBy(queue).agg(F.coalesce(F.min("_stop"), F.max("end_off")).alias("frontier"))
 
 
@@ -26,7 +32,7 @@ def commit(frames: DataFrame, asked: DataFrame, cursors: DataFrame, queue: str =
     """
     from .layout import lookup
 
-    c = F.broadcast(cursors.select(queue, "commit_off", "head_off"))  # one row per queue
+    c = cursors.select(queue, "commit_off", "head_off")
     known = asked.join(c, queue).dropDuplicates([queue, "off"])
     inside = lookup(frames, known.select(queue, "off"), queue, columns=("start_off", "end_off"))
     met = known.join(inside, [queue, "off"], "left")
@@ -37,7 +43,7 @@ def commit(frames: DataFrame, asked: DataFrame, cursors: DataFrame, queue: str =
 
 def classify_acks(ledger: DataFrame, asked: DataFrame, cursors: DataFrame, queue: str = "queue_id") -> DataFrame:
     """AckBatch: each offset is RETIRED (at or before the commit cursor), ACKED (a reservation) or INVALID."""
-    c = F.broadcast(cursors.select(queue, "commit_off", "head_off"))
+    c = cursors.select(queue, "commit_off", "head_off")
     known = ledger.select(queue, F.col("end_off").alias("off"), F.lit(True).alias("_in"))
     met = asked.join(c, queue).join(known, [queue, "off"], "left")
     verdict = F.when(F.col("off") > F.col("head_off"), "INVALID").when(F.col("off") <= F.col("commit_off"), "RETIRED").when(F.col("_in"), "ACKED").otherwise("INVALID")
@@ -45,7 +51,7 @@ def classify_acks(ledger: DataFrame, asked: DataFrame, cursors: DataFrame, queue
 
 
 def with_cursors(frames: DataFrame, cursors: DataFrame, queue: str = "queue_id") -> DataFrame:
-    return frames.join(F.broadcast(cursors), queue)  # one row per queue
+    return frames.join(cursors, queue)
 
 
 def in_flight(frames: DataFrame, cursors: DataFrame, queue: str = "queue_id") -> DataFrame:
@@ -58,7 +64,7 @@ def in_flight(frames: DataFrame, cursors: DataFrame, queue: str = "queue_id") ->
 def requeue(frames: DataFrame, rotations: int, queue: str = "queue_id") -> DataFrame:
     """Each of the first `rotations` heads is appended to the tail, then retired: adds new_seq."""
     n = frames.groupBy(queue).agg(F.count("*").alias("_n"))
-    met = frames.join(F.broadcast(n), queue)
+    met = frames.join(n, queue)
     return met.withColumn("new_seq", F.when(F.col("seq") < rotations, F.col("seq") + F.col("_n")).otherwise(F.col("seq"))).drop("_n")
 
 

@@ -70,7 +70,7 @@ def recovered_cursor(headers: DataFrame, queue: str = "queue_id") -> DataFrame:
 
 def reconciled_counts(headers: DataFrame, recovered: DataFrame, queue: str = "queue_id") -> DataFrame:
     """Committed counts after recovery: all below the cursor, none above, the header's where it straddles."""
-    met = headers.join(F.broadcast(recovered.select(queue, "commit_off")), queue)
+    met = headers.join(recovered.select(queue, "commit_off"), queue)
     end = F.col("base") + F.col("size")
     fixed = F.when(end <= F.col("commit_off"), F.col("written")).when(F.col("base") >= F.col("commit_off"), F.lit(0).cast("long")).otherwise(F.least("committed", "written"))
     return met.select(queue, "segment", "written", fixed.alias("committed"))
@@ -78,5 +78,5 @@ def reconciled_counts(headers: DataFrame, recovered: DataFrame, queue: str = "qu
 
 def replay(frames: DataFrame, cursors: DataFrame, queue: str = "queue_id") -> DataFrame:
     """Records delivered again after a crash: everything past the commit cursor."""
-    return frames.join(F.broadcast(cursors.select(queue, "commit_off")), queue).filter("end_off > commit_off")
+    return frames.join(cursors.select(queue, "commit_off"), queue).filter("end_off > commit_off")
 

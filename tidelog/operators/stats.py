@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def reclaim(headers: DataFrame, cursors: DataFrame, queue: str = "queue_id") -> DataFrame:
     """Adds dropped: the segment is wholly committed and not the active one."""
     active = headers.groupBy(queue).agg(F.max("segment").alias("_active"))
-    met = headers.join(F.broadcast(active), queue).join(F.broadcast(cursors.select(queue, "commit_off")), queue)
+    met = headers.join(active, queue).join(cursors.select(queue, "commit_off"), queue)
     return met.withColumn("dropped", (F.col("base") + F.col("size") <= F.col("commit_off")) & (F.col("segment") != F.col("_active"))).drop("_active", "commit_off")
 
 
@@ -20,9 +20,11 @@ def disk(headers: DataFrame, segment_size: int, max_bytes: int = 0, queue: str =
     return out.withColumn("within_bound", F.lit(True) if not max_bytes else F.col("disk_bytes") <= bound)
 
 
-def stats(frames: DataFrame, headers: DataFrame, cursors: DataFrame, max_segments: int = 0, max_bytes: int = 0, queue: str = "queue_id") -> DataFrame:
-    """Gauges, configuration and counters of each queue; one pass over records, one over segments."""
-    c = F.broadcast(cursors)
+def stats(frames: DataFrame, headers: DataFrame, cursors: DataFrame, max_segments: int = 0, max_bytes: int = 0, sync_every: int = 1, queue: str = "queue_id") -> DataFrame:
+    """Gauges, configuration and counters of each queue; one pass over records, one over segments. Bytes are
+    unsynced behind the last of every `sync_every` appends. Refusals and failed deletions are counted by a log
+    that lives, see counters() for the former."""
+    c = cursors
     live = reclaim(headers, cursors, queue).filter(~F.col("dropped")).groupBy(queue).agg(F.count("*").alias("segments"), F.sum(F.col("capacity") + 64).cast("long").alias("disk_bytes"))
     rows = frames.join(c, queue).groupBy(queue).agg(
         F.max(F.col("write_off") - F.col("commit_off")).alias("backlog_bytes"),
@@ -31,9 +33,9 @@ def stats(frames: DataFrame, headers: DataFrame, cursors: DataFrame, max_segment
         F.count("*").alias("added"),
         F.count_if(F.col("end_off") <= F.col("head_off")).alias("delivered"),
         F.count_if(F.col("end_off") <= F.col("commit_off")).alias("committed"),
+        F.coalesce(F.sum(F.when(F.col("seq") >= F.col("n") - F.col("n") % sync_every, F.col("framed_len"))), F.lit(0).cast("long")).alias("unsynced_bytes"),
     )
-    zero = F.lit(0).cast("long")
-    return rows.join(live, queue).select("*", F.lit(max_segments).cast("long").alias("max_segments"), F.lit(max_bytes).cast("long").alias("max_bytes"), zero.alias("unsynced_bytes"), zero.alias("full"), zero.alias("unreclaimed"))
+    return rows.join(live, queue).select("*", F.lit(max_segments).cast("long").alias("max_segments"), F.lit(max_bytes).cast("long").alias("max_bytes"))
 
 
 def counters(operations: DataFrame, queue: str = "queue_id") -> DataFrame:
