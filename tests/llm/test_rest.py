@@ -1,6 +1,7 @@
 """Quality rules, mixing, packing, chats and the pipeline."""
 
 import collections
+import hashlib
 import random
 import re
 import zlib
@@ -219,3 +220,78 @@ def test_pipeline_stages(spark):
         sizes.append(docs.count())
     assert sizes[1] <= sizes[0] <= 200 and sizes[2] == sizes[1]
     assert p.ORACLE_SQL is None and p.run(spark, SF).count() == sizes[-1]
+
+
+def test_pipeline_against_plain_versions(spark, tmp_path):
+    import corpus_pipeline as p
+
+    from tidelog.llm import quality_fm
+
+    from .test_dedup import plain_kept, plain_removal
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    base = [[word() for _ in range(220)] for _ in range(8)]
+    passage = " ".join(word() for _ in range(70))
+    rows, labels = [], []
+    for k in range(70):
+        w = list(rng.choice(base)) if k % 3 else [word() for _ in range(rng.choice([0, 3, 200, 400]))]
+        for _ in range(rng.choice([0, 1, 2, 4, 8, 30])):
+            if w:
+                w[rng.randrange(len(w))] = word()
+        t = " ".join(w) + (" " + passage if k % 5 == 0 else "")
+        good = int(rng.random() < 0.8)
+        t = t if good else "@@ $$ ## " * 30 + t
+        rows.append((k, t, "en", f"s{k % 3}", len(t)))
+        labels.append((k, good, 0))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = quality_fm.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    want = {r["doc_id"]: r["text"] for r in docs.collect() if model.score(r["text"].encode(), r["n_chars"]) >= 0.3}
+    outs = []
+    for name, stage in p.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        got = out.collect()
+        outs.append(got)
+        docs = spark.createDataFrame(got, out.schema)
+    assert {r["doc_id"]: r["text"] for r in outs[0]} == want and 40 < len(want) < 70
+    kept = plain_kept(sorted(want.items()))
+    assert sorted(r["doc_id"] for r in outs[1]) == kept and len(kept) < len(want) - 8
+    cut = {i: (n - gone, digest) for i, n, gone, _, digest in plain_removal([(i, want[i]) for i in kept])}
+    assert {r["doc_id"]: (len(r["text"]), hashlib.sha256(r["text"].encode()).hexdigest()) for r in outs[2]} == cut and any(n < len(want[i]) for i, (n, _) in cut.items())
+    size = {r["doc_id"]: (r["source"], len(WORD.findall(r["text"]))) for r in outs[2]}
+    total = sum(n for _, n in size.values())
+    taken, per_doc = collections.Counter(), collections.Counter()
+    for r in outs[3]:
+        n = len(WORD.findall(r["text"]))
+        taken[r["source"]] += n
+        per_doc[r["doc_id"]] += n
+        assert r["n_chars"] == len(r["text"]) and r["source"] == size[r["doc_id"]][0]
+    held = [sum(n for x, n in size.values() if x == s) for s in sorted({x for x, _ in size.values()})]
+    free, share, left = {0, 1, 2}, {}, total  # weights 1, 2, 3; none above 3 times its size, the excess reshared
+    while True:
+        over = [k for k in free if left * (k + 1) / sum(i + 1 for i in free) > 3 * held[k]]
+        if not over:
+            break
+        share |= {k: 3 * held[k] for k in over}
+        free -= set(over)
+        left = total - sum(share.values())
+    share |= {k: left * (k + 1) / sum(i + 1 for i in free) for k in free}
+    assert all(abs(taken[s] - share[k]) <= 16 for k, s in enumerate(sorted(taken)))
+    assert all(n <= 3 * size[i][1] for i, n in per_doc.items())
+    own = tokenize.load(tokenizer_path())
+    lens = []
+    for r in outs[3]:
+        n = len(own.ids(r["text"])) + 1
+        lens += [2048] * (n // 2048) + [n % 2048] * (n % 2048 > 0)
+    room = []
+    for x in sorted(lens, reverse=True):
+        fits = [i for i, free in enumerate(room) if free >= x]
+        if fits:
+            room[min(fits, key=lambda i: room[i])] -= x
+        else:
+            room.append(2048 - x)
+    assert sorted(r["length"] for r in outs[4]) == sorted(lens) and len({r["sequence_id"] for r in outs[4]}) == len(room)
+    pieces = lambda found: sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found)
+    assert pieces(p.run(spark, str(tmp_path)).collect()) == pieces(outs[4])
