@@ -98,6 +98,14 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return named.filter(F.lpad(F.col("segment").cast("string"), 8, "0") == F.col("_n")).select("segment", "length", "content")
 
 
+def _empty_files(spark: SparkSession, path: str) -> list[int]:
+    """Segments whose file holds nothing; Spark's file sources pass over them."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    names = [s.getPath().getName() for s in listed if s.isFile() and not s.getLen()]
+    return [int(n[5:]) for n in names if n.startswith("data.") and n[5:].isdigit() and n == f"data.{int(n[5:]):08d}"]
+
+
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """One row per segment file, with what opening it tests (see operators.recovery.verdicts)."""
 
@@ -111,6 +119,7 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
 
     schema = "segment long, file_len long, hdr_len long, all_zero boolean, magic_ok boolean, header_ok boolean, version long, seg_size long, capacity long, write_cursor long, commit_cursor long, written long, committed long"
     found = _files(spark, path).select("segment", "content").mapInArrow(run, schema)
+    found = found.unionByName(spark.createDataFrame([(n, 0, 0, True, False, False, 0, 0, 0, 0, 0, 0, 0) for n in _empty_files(spark, path)], schema))
     last = found.agg(F.max("segment").alias("_last"))
     return found.crossJoin(F.broadcast(last)).withColumn("tail", F.col("segment") == F.col("_last")).drop("_last")  # one row
 
