@@ -257,12 +257,11 @@ def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
 
 #: The prefix of a set holds this share of it beyond what one common shingle needs.
 EXTRA = Fraction(1, 5)
-MARKS = ["doc_id", "key", "whole", "fp", "n", "first", "prefix"]
+MARKS = ["doc_id", "key", "whole", "fp", "n", "prefix"]
 
 
 def _marks(docs: DataFrame, words_per_shingle: int, similarity: Fraction, seed: int) -> DataFrame:
-    """doc_id, key, whole, fp, n (distinct shingles), prefix (the smallest hashes of the set) and first (how
-    many of these make two similar sets share one).
+    """doc_id, key, whole, fp, n (distinct shingles) and prefix (the smallest hashes of the set).
 
     With o >= similarity * n common shingles, the l-th smallest of them is among the n - o + l smallest of
     either set; the prefix takes l = EXTRA * n. A task sends a text that it meets again without its prefix.
@@ -273,49 +272,53 @@ def _marks(docs: DataFrame, words_per_shingle: int, similarity: Fraction, seed:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                fps, sizes, firsts, prefixes = [], [], [], []
+                fps, sizes, prefixes = [], [], []
                 for key, text in zip(b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()):
                     raw = _digests(text, words_per_shingle, seed)
                     own = _shingle_set(raw)
                     n = len(own)
                     fps.append(_majority(raw))
                     sizes.append(n)
-                    firsts.append(n - math.ceil(similarity * n) + 1)
                     prefixes.append(own[:0] if key in seen else own[: n - math.ceil(similarity * n) + math.ceil(EXTRA * n)])
                     if len(seen) > 100_000:
                         seen.clear()
                     seen.add(key)
                 ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
                 flat = np.concatenate(prefixes).view(np.int64)
-                data = [b.column(0), b.column(1), b.column(3), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(firsts, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                data = [b.column(0), b.column(1), b.column(3), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
                 yield pa.RecordBatch.from_arrays(data, names=MARKS)
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, key long, whole long, fp long, n int, first int, prefix array<long>")
+    return _keyed(docs).mapInArrow(run, "doc_id long, key long, whole long, fp long, n int, prefix array<long>")
 
 
 def _candidates(marks: DataFrame, texts: DataFrame, similarity: Fraction, rounds: int = 4) -> DataFrame:
-    """(shingle, key) of the texts that can have a near copy, for the first shingles of each.
+    """(shingle, key): texts that can have a near copy, by shingles of which similar ones have one in common.
 
     A text with a near copy shares EXTRA * n' shingles of its prefix with it, where n' >= similarity * n is
     the smaller of the two sets' sizes. Texts that share fewer with all others together are dropped, and as
-    that may leave others alone, again; stopping early keeps more texts, never fewer.
+    that may leave others alone, again; stopping early keeps more texts, never fewer. Of the c shingles that a
+    text still shares, the c - need + 1 rarest are kept: of two texts with `need` in common, one is among these
+    for either. So a passage in very many texts brings only those together that hold little else.
     """
     shared = Window.partitionBy("shingle")
-    rows = marks.select("key", "first", F.posexplode("prefix").alias("at", "shingle")).select("shingle", "key", (F.col("at") < F.col("first")).alias("early"))
+    rows = marks.select("key", F.explode("prefix").alias("shingle"))
     both = rows.withColumn("_a", F.min("key").over(shared)).withColumn("_b", F.max("key").over(shared)).filter("_a < _b")
-    now = Staged(both.select("shingle", "key", "early").distinct(), "shared").read()
+    now = Staged(both.select("shingle", "key").distinct(), "shared").read()
     # a double is exact enough: rounded down, it asks for less
     need = texts.select(F.col("key").alias("_k"), F.ceil(F.ceil(F.col("n") * float(similarity) - 1e-6) * float(EXTRA) - 1e-6).alias("_need"))
+    able = lambda df: df.groupBy("key").agg(F.count("*").alias("_n")).join(need, F.col("key") == F.col("_k")).filter("_n >= _need")
     left = now.count()
     for _ in range(rounds):
-        able = now.groupBy("key").agg(F.count("*").alias("_n")).join(need, F.col("key") == F.col("_k")).filter("_n >= _need").select("key")
-        rest = now.join(able, "key", "left_semi")
-        met = rest.groupBy("shingle").agg(F.min("key").alias("_a"), F.max("key").alias("_b")).filter("_a < _b").select("shingle")
+        rest = now.join(able(now).select("key"), "key", "left_semi")
+        met = rest.groupBy("shingle").agg(F.count("*").alias("_f")).filter("_f > 1").select("shingle")
         now = Staged(rest.join(met, "shingle", "left_semi"), "shared").read()
         before, left = left, now.count()
         if left > 0.95 * before:
             break
-    return now.filter("early").select("shingle", "key")
+    rare = F.row_number().over(Window.partitionBy("key").orderBy("_f", "shingle"))
+    often = now.groupBy("shingle").agg(F.count("*").alias("_f"))
+    most = able(now).select("key", (F.col("_n") - F.col("_need") + 1).alias("_most"))
+    return now.join(often, "shingle").withColumn("_at", rare).join(most, "key").filter("_at <= _most").select("shingle", "key")
 
 
 def _sets(docs: DataFrame, keys: DataFrame, words_per_shingle: int, seed: int) -> DataFrame:
@@ -374,7 +377,7 @@ def similar_links(code: np.ndarray, sets: list[np.ndarray], side: np.ndarray | N
 def near_copies(docs: DataFrame, marks: DataFrame, d: int, words_per_shingle: int, similarity: Fraction, seed: int, block: int = 2048, block_shingles: int = 2_000_000) -> DataFrame:
     """(node, root) of the texts (keys) that have near copies: root is one key of each group.
 
-    Texts that share first shingles, directly or through others, form clusters, and only texts of one cluster
+    Texts that share rare shingles, directly or through others, form clusters, and only texts of one cluster
     can be similar. A cluster is cut into blocks of bounded size, and each two of its blocks, and each block
     alone, meet in a task of their own: there the index finds the pairs within d bits, and their similarity is
     computed on the whole sets. Only a spanning forest leaves a task.
