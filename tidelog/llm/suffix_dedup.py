@@ -69,12 +69,12 @@ def suffix_ranks(t: np.ndarray, need: int | None = None) -> np.ndarray:
     names = _names(text[sample], text[sample + 1], text[sample + 2], size)
     if int(names.max()) + 1 < len(names):
         if need is not None and need <= 3:
-            turn = np.argsort(names, kind="stable")
+            turn = np.argsort(names)
             names[turn] = np.arange(len(names))
         else:
             names = suffix_ranks(names + 1, None if need is None else -(-need // 3))
             if need is not None:  # places taken twice by suffixes that agree
-                turn = np.argsort(names, kind="stable")
+                turn = np.argsort(names)
                 names[turn] = np.arange(len(names))
     rank = np.zeros(n + 4, dtype=np.int64)
     rank[sample] = names + 1
@@ -85,8 +85,8 @@ def suffix_ranks(t: np.ndarray, need: int | None = None) -> np.ndarray:
     ones, twos = np.flatnonzero(placed % 3 == 1), np.flatnonzero(placed % 3 == 2)
     one, two = placed[ones], placed[twos]  # in suffix order, so that their keys below are sorted as they are
     zero = one - 1 if n % 3 != 1 else np.r_[n - 1, one - 1]
-    head = text[zero]
-    zero = zero[np.argsort(head.astype(np.uint16) if size <= 1 << 16 else head, kind="stable")]  # each third in suffix order
+    # each third in suffix order; small integers are sorted by counting, which keeps the order of the rest
+    zero = zero[np.argsort(text[zero].astype(np.uint16), kind="stable") if size <= 1 << 16 else np.argsort(_join(text[zero], rank[zero + 1], top))]
     zero_1, one_1 = _join(text[zero], rank[zero + 1], top), _join(text[one], rank[one + 1], top)
     pair = np.concatenate([zero, two])
     by_two = _join(_join(text[pair], text[pair + 1], size), rank[pair + 2], top)
