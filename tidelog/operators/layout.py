@@ -46,12 +46,12 @@ def segment_starts(start: np.ndarray, end: np.ndarray, size: int) -> list[tuple[
     return out
 
 
-def chunk_passes(start: np.ndarray, end: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def chunk_passes(start: np.ndarray, end: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Next-fit through one chunk of a queue for every limit it can be entered with.
 
     The limit is where the segment open so far is full; the first record that ends beyond it opens the next.
     A limit lies less than `size` beyond the chunk's first byte, so few records can be that first one. For
-    each: its end, the segments opened in the chunk and the limit that the chunk leaves behind.
+    each: its end, the segments opened in the chunk, and the last one's base and limit.
     """
     n = len(start)
     entries = np.arange(min(n, int(np.searchsorted(end, start[0] + size, side="left")) + 1))
@@ -63,7 +63,7 @@ def chunk_passes(start: np.ndarray, end: np.ndarray, size: int) -> tuple[np.ndar
             break
         at[on] = following[at[on]]
         opened[on] += 1
-    return end[entries], opened, start[at] + np.maximum(size, end[at] - start[at])
+    return end[entries], opened, start[at], start[at] + np.maximum(size, end[at] - start[at])
 
 
 def with_segments(frames: DataFrame, segment_size: int, queue: str = "queue_id", chunk: int = 250_000) -> DataFrame:
@@ -78,30 +78,30 @@ def with_segments(frames: DataFrame, segment_size: int, queue: str = "queue_id",
     def passes(t):
         t = t.sort_by("_s").combine_chunks()
         start, end = t.column("start_off").to_numpy(), t.column("end_off").to_numpy()
-        till, opened, limit = chunk_passes(start, end, segment_size)
+        till, opened, base, limit = chunk_passes(start, end, segment_size)
         same = lambda x: pa.array(np.full(len(till), x, dtype=np.int64))
         first = max(segment_size, int(end[0] - start[0]))
-        return pa.table([pa.chunked_array([t.column("_q").chunk(0).take(pa.array(np.zeros(len(till), np.int64)))]), same(t.column("_chunk")[0].as_py()), pa.array(till), pa.array(opened), pa.array(limit), same(start[0]), same(end[-1]), same(first)], names=["_q", "_chunk", "till", "opened", "limit", "from", "upto", "first"])
+        return pa.table([pa.chunked_array([t.column("_q").chunk(0).take(pa.array(np.zeros(len(till), np.int64)))]), same(t.column("_chunk")[0].as_py()), pa.array(till), pa.array(opened), pa.array(base), pa.array(limit), same(start[0]), same(end[-1]), same(first)], names=["_q", "_chunk", "till", "opened", "base", "limit", "from", "upto", "first"])
 
-    told = keys.groupBy("_q", "_chunk").applyInArrow(passes, T.StructType([T.StructField("_q", kind), *longs("_chunk", "till", "opened", "limit", "from", "upto", "first")]))
+    told = keys.groupBy("_q", "_chunk").applyInArrow(passes, T.StructType([T.StructField("_q", kind), *longs("_chunk", "till", "opened", "base", "limit", "from", "upto", "first")]))
 
     def fold(t):
         t = t.sort_by([("_chunk", "ascending"), ("till", "ascending")]).combine_chunks()
-        chunks, till, opened, limits, begin, upto, first = (t.column(c).to_numpy() for c in ("_chunk", "till", "opened", "limit", "from", "upto", "first"))
+        chunks, till, opened, bases, limits, begin, upto, first = (t.column(c).to_numpy() for c in ("_chunk", "till", "opened", "base", "limit", "from", "upto", "first"))
         edge = np.flatnonzero(np.r_[True, chunks[1:] != chunks[:-1], True])
-        rows, limit, number = [], None, 0
+        rows, limit, number, base = [], None, 0, 0
         for a, b in zip(edge[:-1], edge[1:]):
             if limit is None:  # an oversized first record finds segment 1 empty: it opens segment 2
                 limit, number = int(begin[a]), int(first[a] > segment_size)
-            rows.append((int(chunks[a]), limit, number))
+            rows.append((int(chunks[a]), limit, number, base))
             if upto[a] > limit:
                 k = a + int(np.searchsorted(till[a:b], limit, side="right"))
-                number, limit = number + int(opened[k]), int(limits[k])
+                number, base, limit = number + int(opened[k]), int(bases[k]), int(limits[k])
         cols = [pa.array(c, pa.int64()) for c in zip(*rows)]
-        return pa.table([t.column("_q").chunk(0).take(pa.array([0] * len(rows))), *cols], names=["_q", "_chunk", "limit", "number"])
+        return pa.table([t.column("_q").chunk(0).take(pa.array([0] * len(rows))), *cols], names=["_q", "_chunk", "limit", "number", "open_base"])
 
-    entered = told.groupBy("_q").applyInArrow(fold, T.StructType([T.StructField("_q", kind), *longs("_chunk", "limit", "number")]))
-    entered = entered.select(F.col("_q").alias("_eq"), F.col("_chunk").alias("_ec"), "limit", "number")
+    entered = told.groupBy("_q").applyInArrow(fold, T.StructType([T.StructField("_q", kind), *longs("_chunk", "limit", "number", "open_base")]))
+    entered = entered.select(F.col("_q").alias("_eq"), F.col("_chunk").alias("_ec"), "limit", "number", "open_base")
 
     def mark(t):
         t = t.sort_by("_s").combine_chunks()
@@ -116,15 +116,13 @@ def with_segments(frames: DataFrame, segment_size: int, queue: str = "queue_id",
     met = keys.join(entered, (F.col("_q") == F.col("_eq")) & (F.col("_chunk") == F.col("_ec")))
     starts = met.groupBy("_q", "_chunk").applyInArrow(mark, T.StructType([T.StructField("_q", kind), *longs("_s", "segment", "base", "capacity")]))
     # one row per segment; within a chunk records find theirs as the last start at or before them, and those
-    # before a chunk's first start belong to the last one of the chunks before
+    # before a chunk's first start belong to the segment that was open when it was entered
     starts = starts.withColumn("_of", F.struct("segment", "base", "capacity")).select("_q", "_s", "_of")
     marks = parted.join(starts, (F.col(queue) == F.col("_q")) & (F.col("seq") == F.col("_s")), "left").drop("_q", "_s")
-    ends = marks.groupBy(queue, "_chunk").agg(F.max("_of").alias("_last"))  # segments are numbered in order
-    before = Window.partitionBy(queue).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(F.col(queue).alias("_cq"), F.col("_chunk").alias("_cc"), F.max("_last").over(before).alias("_carry"))
     upto = Window.partitionBy(queue, "_chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     plain = [c for c in frames.columns if c not in ("segment", "base", "capacity")]
-    out = marks.withColumn("_of", F.last("_of", ignorenulls=True).over(upto)).join(carried, (F.col(queue) == F.col("_cq")) & (F.col("_chunk") == F.col("_cc")))
+    carry = F.struct(F.col("number").alias("segment"), F.col("open_base").alias("base"), (F.col("limit") - F.col("open_base")).alias("capacity"))
+    out = marks.withColumn("_of", F.last("_of", ignorenulls=True).over(upto)).join(entered.withColumn("_carry", carry), (F.col(queue) == F.col("_eq")) & (F.col("_chunk") == F.col("_ec")))
     return out.withColumn("_of", F.coalesce("_of", "_carry")).select(*plain, "_of.segment", "_of.base", "_of.capacity")
 
 

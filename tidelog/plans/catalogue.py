@@ -133,8 +133,8 @@ def q03_segments(spark, sf):
 
 
 def _headers(spark, sf):
-    s = segmented(spark, sf)
-    return layout.segment_headers(s, layout.cursors(s), SEGMENT)
+    # cursors and counts need no segments, so packing runs once
+    return layout.segment_headers(segmented(spark, sf), layout.cursors(frames(spark, sf)), SEGMENT)
 
 
 @query(f"{_H}SELECT queue_id, segment, base, size, capacity, oversized, written, committed, write_cursor, commit_cursor FROM hdr")
@@ -159,9 +159,9 @@ SELECT queue_id, max(write_off - commit_off) AS backlog_bytes, count(*) FILTER (
        coalesce(CAST(sum(framed_len) FILTER (seq >= frames.n - frames.n % {SYNC_EVERY}) AS BIGINT), 0) AS unsynced_bytes
 FROM frames JOIN cur USING (queue_id) JOIN live USING (queue_id) GROUP BY queue_id""")
 def q06_stats(spark, sf):
-    s = segmented(spark, sf)
-    c = layout.cursors(s)
-    return stats.stats(s, layout.segment_headers(s, c, SEGMENT), c, max_segments=codec.max_segments(0), sync_every=SYNC_EVERY)
+    f = frames(spark, sf)
+    c = layout.cursors(f)
+    return stats.stats(f, _headers(spark, sf), c, max_segments=codec.max_segments(0), sync_every=SYNC_EVERY)
 
 
 @query(f"""{_F}, asked AS (SELECT queue_id, end_off + event_id % 3 - 1 AS off FROM frames)
@@ -215,9 +215,7 @@ def q11_rewind(spark, sf):
 @query(f"""{_H}SELECT queue_id, segment, base + size <= commit_off AND segment < max(segment) OVER (PARTITION BY queue_id) AS dropped
 FROM hdr JOIN cur USING (queue_id)""")
 def q12_reclaim(spark, sf):
-    s = segmented(spark, sf)
-    c = layout.cursors(s)
-    return stats.reclaim(layout.segment_headers(s, c, SEGMENT), c).select("queue_id", "segment", "dropped")
+    return stats.reclaim(_headers(spark, sf), layout.cursors(frames(spark, sf))).select("queue_id", "segment", "dropped")
 
 
 @query(f"""{_F}SELECT queue_id, coalesce(min(seq) FILTER (end_off > {MAX_BYTES}), count(*)) AS n_placed,
@@ -339,7 +337,7 @@ SELECT queue_id, segment, cut, count(*) FILTER (end_off <= cut) AS survivors, co
 FROM seg JOIN cuts USING (queue_id, segment) GROUP BY 1, 2, 3""")
 def q29_truncated(spark, sf):
     s = segmented(spark, sf)
-    h = layout.segment_headers(s, layout.cursors(s), SEGMENT)
+    h = _headers(spark, sf)
     return recovery.truncated(s, h.select("queue_id", "segment", F.expr("base + size * 2 div 3").alias("cut")))
 
 
