@@ -84,3 +84,14 @@ class Staged:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared folder and read again."""
     return Staged(df, name).read()
+
+
+def release_memory() -> None:
+    """Give a Python worker's freed memory back to the machine, which it shares with its executor."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)

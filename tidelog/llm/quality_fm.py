@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._shared import release_memory
+
 #: Words are hashed to this many features; structure statistics follow them.
 HASHED = 1 << 16
 #: Statistics of a text; each gives its value and a one-hot bucket of it.
@@ -192,5 +194,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **opti
     def run(batches):
         for b in batches:
             yield b.filter(pa.array(np.array(score(b), dtype=np.float64) >= threshold))
+            release_memory()
 
     return docs.mapInArrow(run, docs.schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import Staged, staged
+from ._shared import Staged, release_memory, staged
 from .components import components
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -287,6 +287,7 @@ def _marks(docs: DataFrame, words_per_shingle: int, similarity: Fraction, seed:
                 flat = np.concatenate(prefixes).view(np.int64)
                 data = [b.column(0), b.column(1), b.column(3), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
                 yield pa.RecordBatch.from_arrays(data, names=MARKS)
+            release_memory()
 
     return _keyed(docs).mapInArrow(run, "doc_id long, key long, whole long, fp long, n int, prefix array<long>")
 
@@ -401,6 +402,8 @@ def near_copies(docs: DataFrame, marks: DataFrame, d: int, words_per_shingle: in
         sets = [np.frombuffer(x, dtype=np.uint64) for x in t.column("shingles").take(pa.array(one)).to_pylist()]
         side = None if t.column("low")[0].as_py() == t.column("high")[0].as_py() else block_of
         found = similar_links(t.column("fp").to_numpy()[one].view(np.uint64), sets, side, d, similarity)
+        del sets
+        release_memory()
         return pa.table([pa.array(key[[i for i, _ in found]], pa.int64()), pa.array(key[[j for _, j in found]], pa.int64())], names=["a", "b"])
 
     return components(cells.groupBy("root", "low", "high").applyInArrow(run, "a long, b long"))

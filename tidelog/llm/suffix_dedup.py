@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import Staged
+from ._shared import Staged, release_memory
 
 GRAM = 16
 #: A region has at most this many windows, however repetitive the text.
@@ -272,6 +272,7 @@ def _sent(packs: DataFrame, shared: DataFrame, length: int, buckets: int) -> Dat
                 some = [texts[i] for i in part.tolist()]
                 lens = np.array([len(s) for s in some], dtype=np.uint32)
                 out.append((row["pack"], k, _squeeze(b"".join(some)), _squeeze(lens.tobytes()), _squeeze(low[part].tobytes()), part.astype(np.uint32).tobytes()))
+            release_memory()
             out.append((row["pack"], -1, _squeeze(np.diff(first, prepend=0).astype(np.uint32).tobytes()), _squeeze(doc.astype(np.uint32).tobytes()), _squeeze(which.astype(np.uint32).tobytes()), _squeeze(count.astype(np.uint16).tobytes())))
         kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         names = ["pack", "bucket", "a", "b", "c", "d"]
@@ -324,6 +325,7 @@ def _holders(sent: DataFrame, length: int) -> DataFrame:
         for _, at, ids, _ in rows:
             np.minimum.at(low, at, ids)
         held = smallest_holders(list(seen), low, length)
+        release_memory()
         windows = np.array([len(h) for h in held])
         flat = np.concatenate(held)
         region = np.repeat(np.arange(len(held)), windows)
@@ -413,6 +415,7 @@ def _results(packs: DataFrame, sent: DataFrame, holders: DataFrame, schema: T.St
         parts = right.to_pylist()
         row = left.to_pylist()[0]
         p = Pack(row["blob"])
+        release_memory()
         places = next((r for r in parts if r["kind"] == 0), None)
         spans = removed_spans(p, places, [{"which": r["a"], "runs": r["b"], "offsets": r["c"], "ids": r["d"]} for r in parts if r["kind"] == 1], length)
         cols: list[list] = [[] for _ in kinds]
@@ -432,7 +435,7 @@ def _results(packs: DataFrame, sent: DataFrame, holders: DataFrame, schema: T.St
     return packs.groupBy("pack").cogroup(places.unionByName(held).groupBy("pack")).applyInArrow(run, T.StructType(fields))
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, pack_bytes: int = 4 << 20, regions_per_bucket: int = 400_000, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, pack_bytes: int = 4 << 20, regions_per_bucket: int = 200_000, with_text: bool = True) -> DataFrame:
     """`docs` with n_bytes, n_removed, n_spans, kept_sha256 and, with_text, spans and kept_text.
 
     Every byte goes that is covered by a `length`-byte string which also starts in a document of smaller
