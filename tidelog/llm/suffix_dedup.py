@@ -66,7 +66,8 @@ def suffix_ranks(t: np.ndarray, need: int | None = None) -> np.ndarray:
     text = np.r_[t.astype(np.int64), 0, 0, 0, 0]
     size = int(text.max()) + 1
     sample = np.r_[np.arange(1, end, 3), np.arange(2, end, 3)]
-    names = _names(text[sample], text[sample + 1], text[sample + 2], size)
+    thirds = [np.concatenate([text[1 + k : end + k : 3], text[2 + k : end + k : 3]]) for k in range(3)]
+    names = _names(*thirds, size)
     if int(names.max()) + 1 < len(names):
         if need is not None and need <= 3:
             turn = np.argsort(names)
@@ -77,7 +78,8 @@ def suffix_ranks(t: np.ndarray, need: int | None = None) -> np.ndarray:
                 turn = np.argsort(names)
                 names[turn] = np.arange(len(names))
     rank = np.zeros(n + 4, dtype=np.int64)
-    rank[sample] = names + 1
+    first = len(range(1, end, 3))
+    rank[1:end:3], rank[2:end:3] = names[:first] + 1, names[first:] + 1
     top = len(sample) + 2
     placed = np.empty(len(sample), dtype=np.int64)
     placed[names] = sample
@@ -92,9 +94,11 @@ def suffix_ranks(t: np.ndarray, need: int | None = None) -> np.ndarray:
     by_two = _join(_join(text[pair], text[pair + 1], size), rank[pair + 2], top)
     zero_2, two_2 = by_two[: len(zero)], by_two[len(zero) :]
     out = np.empty(n, dtype=np.int64)
-    out[zero] = np.arange(len(zero)) + np.searchsorted(one_1, zero_1) + np.searchsorted(two_2, zero_2)
-    out[one] = ones + np.searchsorted(zero_1, one_1)
-    out[two] = twos + np.searchsorted(zero_2, two_2)
+    after_one, after_two = np.searchsorted(one_1, zero_1), np.searchsorted(two_2, zero_2)
+    out[zero] = np.arange(len(zero)) + after_one + after_two
+    # how many zeros stand before each of the others follows from where the zeros stand among them
+    out[one] = ones + np.bincount(after_one, minlength=len(one) + 1)[: len(one)].cumsum()
+    out[two] = twos + np.bincount(after_two, minlength=len(two) + 1)[: len(two)].cumsum()
     return out
 
 
