@@ -286,9 +286,9 @@ def _sent(packs: DataFrame, shared: DataFrame, length: int, buckets: int) -> Dat
     return both.applyInArrow(run, "pack long, bucket int, a binary, b binary, c binary, d binary")
 
 
-def smallest_holders(texts: list[bytes], low: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each region, per window start: the smallest of low[] among regions that hold the same window, from
-    neighbours in the order of all suffixes."""
+def smallest_holders(texts: list[bytes], low: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per window start, region after region: the smallest of low[] among regions that hold the same window,
+    from neighbours in the order of all suffixes; and the number of windows of each region."""
     lens = np.array([len(t) for t in texts], dtype=np.int64)
     joined = b"\0".join(texts)
     starts = np.cumsum(lens + 1) - lens - 1
@@ -310,7 +310,7 @@ def smallest_holders(texts: list[bytes], low: np.ndarray, length: int) -> list[n
     best = np.minimum.reduceat(low[owner], heads)[group]
     out = np.empty(len(at), dtype=np.int64)
     out[turn] = best
-    return np.split(out, windows.cumsum()[:-1])
+    return out, windows
 
 
 def _holders(sent: DataFrame, length: int) -> DataFrame:
@@ -328,14 +328,12 @@ def _holders(sent: DataFrame, length: int) -> DataFrame:
         low = np.full(len(seen), LAST, dtype=np.int64)
         for _, at, ids, _ in rows:
             np.minimum.at(low, at, ids)
-        held = smallest_holders(list(seen), low, length)
+        flat, windows = smallest_holders(list(seen), low, length)
         release_memory()
-        windows = np.array([len(h) for h in held])
-        flat = np.concatenate(held)
-        region = np.repeat(np.arange(len(held)), windows)
+        region = np.repeat(np.arange(len(windows)), windows)
         head = np.flatnonzero(np.r_[True, (flat[1:] != flat[:-1]) | (region[1:] != region[:-1])])
         of = region[head]
-        n_runs = np.bincount(of, minlength=len(held))
+        n_runs = np.bincount(of, minlength=len(windows))
         first_run = n_runs.cumsum() - n_runs
         offset = head - (windows.cumsum() - windows)[of]
         out = []
