@@ -21,6 +21,7 @@ REST, START, PAD = HEAD, HEAD + 1, HEAD + 2
 CLIP = 30  # bound of an attention score
 
 _causal = np.where(np.arange(2 * HALF)[None, :] > np.arange(HALF, 2 * HALF)[:, None], np.float32(-1e9), np.float32(0))
+_flat = np.arange((HEAD + 3) * DIM).reshape(-1, DIM)  # places of an input vector's numbers
 
 
 class Slots:
@@ -70,116 +71,141 @@ def initial(slots: Slots | None = None, seed: int = 3) -> dict[str, np.ndarray]:
     return m
 
 
-def _forward(m: dict, inputs: np.ndarray):
-    x = m["e"][inputs]
-    keys, values = x @ m["k"], x @ m["v"]
-    late = x[:, HALF:]
-    q = late @ m["q"]
-    raw = q @ keys.transpose(0, 2, 1)
-    a = np.clip(raw, -CLIP, CLIP)
+def _attend(m: dict, inputs: np.ndarray, q: np.ndarray, keys: np.ndarray):
+    """Exponentials of the scores, one over their sums, and which scores are within CLIP, if not all; the others
+    are cut to it."""
+    a, inside = q @ keys.transpose(0, 2, 1), None
+    if max(a.max(initial=0), -a.min(initial=0)) >= CLIP:
+        inside = np.abs(a) < CLIP
+        np.clip(a, -CLIP, CLIP, out=a)
     a += m["r"] + _causal
     np.exp(a, out=a)
-    if inputs[0, 0] == PAD or (inputs == PAD).any():
-        a *= (inputs != PAD)[:, None, :]
+    short = np.flatnonzero((inputs[:, 0] == PAD) | (inputs[:, -1] == PAD))  # a window's pads are at its ends
+    if len(short):
+        a[short] *= (inputs[short] != PAD)[:, None, :]
     total = a.reshape(-1, 2 * HALF) @ np.ones(2 * HALF, dtype=a.dtype)
-    a *= (1 / np.maximum(total, 1e-30)).reshape(a.shape[:2])[:, :, None]  # inputs past a text's end see nothing
-    return x, keys, values, q, raw, a, late + a @ values
+    return a, (1 / np.maximum(total, 1e-30)).reshape(a.shape[:2])[:, :, None], inside  # inputs past a text's end see nothing
 
 
-def _softmax(logits: np.ndarray, scaled: bool = False) -> np.ndarray:
-    """Log of each row's sum of exponentials; the logits are overwritten, by their softmax if `scaled`."""
-    top = 0.0
+def _with_bias(w: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Weights and bias in one, for inputs that end in a 1."""
+    return np.concatenate([w, bias[..., None, :]], axis=-2)
+
+
+def _exp_sums(logits: np.ndarray):
+    """Sum of each row's exponentials and what was taken from the row before; the logits become exponentials."""
+    top = None
     if max(logits.max(initial=0), -logits.min(initial=0)) > 60:
         top = logits.max(axis=1)
         logits -= top[:, None]
     np.exp(logits, out=logits)
-    total = logits @ np.ones(logits.shape[1], dtype=logits.dtype)
-    if scaled:
-        logits *= (1 / total)[:, None]
-    return np.log(total) + top
+    return logits @ np.ones(logits.shape[1], dtype=logits.dtype), top
+
+
+def _log(total: np.ndarray, top: np.ndarray | None) -> np.ndarray:
+    return np.log(total) if top is None else np.log(total) + top
 
 
-def _by_class(slot: np.ndarray):
-    """Order of the targets by class, and (class, first, last + 1) of each class of own slots."""
-    group = slot // SIDE
-    order = np.argsort(group, kind="stable")
-    edge = np.searchsorted(group[order], np.arange(SIDE + 1))
-    return group, order, [(g, edge[g], edge[g + 1]) for g in np.flatnonzero(np.diff(edge)).tolist()]
+def _by_class(t: np.ndarray):
+    """Places of the targets by class, their classes and members, (class, first, last + 1) of each class of own
+    slots, and how many targets have one."""
+    group = (t // SIDE).astype(np.int8)  # -1: no target
+    rows = np.argsort(group, kind="stable")
+    edge = np.searchsorted(group[rows], np.arange(SIDE + 1, dtype=np.int8))
+    rows, edge = rows[edge[0] :], edge - edge[0]
+    group = group[rows].astype(np.int64)
+    return rows, group, t[rows] % SIDE, [(g, edge[g], edge[g + 1]) for g in np.flatnonzero(np.diff(edge)).tolist()], int(edge[-1])
 
 
 def log_probs(m: dict, inputs: np.ndarray, targets: np.ndarray, batch: int = 256) -> np.ndarray:
     """Natural log probability of each window's targets, summed per window in double precision."""
     out = np.empty(len(inputs))
+    e, ask, keys, values = m["e"], m["e"] @ m["q"], m["e"] @ m["k"], m["e"] @ m["v"]
+    c, u = _with_bias(m["c"], m["cb"]), _with_bias(m["u"], m["ub"])
     for at in range(0, len(inputs), batch):
-        y = _forward(m, inputs[at : at + batch])[-1].reshape(-1, DIM)
+        some = inputs[at : at + batch]
+        late = some[:, HALF:].ravel()
+        a, scale, _ = _attend(m, some, ask.take(late, axis=0).reshape(-1, HALF, DIM), keys.take(some, axis=0))
+        seen = a @ values.take(some, axis=0)
+        seen *= scale
+        y = seen.reshape(-1, DIM)
+        y += e.take(late, axis=0)
         t = targets[at : at + batch].ravel()
-        rows = np.flatnonzero(t >= 0)
-        y, slot = y[rows], t[rows].astype(np.int64)
-        group, order, parts = _by_class(slot)
-        logits = y @ m["c"]
-        logits += m["cb"]
-        hit = logits[np.arange(len(rows)), group].astype(np.float64)
-        hit -= _softmax(logits)
-        y, member, more = y[order], slot[order] % SIDE, np.zeros(len(rows))
-        for g, a, b in parts:
-            logits = y[a:b] @ m["u"][g]
-            logits += m["ub"][g]
-            one = logits[np.arange(b - a), member[a:b]].astype(np.float64)
-            more[a:b] = one - _softmax(logits)
-        hit[order] += more
+        rows, group, member, parts, own = _by_class(t)
+        y1 = np.ones((len(rows), DIM + 1), dtype=y.dtype)
+        y1[:, :DIM] = y.take(rows, axis=0)
+        logits = y1 @ c
+        hit = logits.ravel().take(np.arange(len(rows)) * (SIDE + 1) + group).astype(np.float64)
+        hit -= _log(*_exp_sums(logits))
+        logits = np.empty((own, SIDE), dtype=y.dtype)
+        for g, first, last in parts:
+            np.matmul(y1[first:last], u[g], out=logits[first:last])
+        hit[:own] += logits.ravel().take(np.arange(own) * SIDE + member[:own])
+        hit[:own] -= _log(*_exp_sums(logits))
         whole = np.zeros(len(t))
         whole[rows] = hit
         out[at : at + batch] = whole.reshape(-1, HALF).sum(axis=1)
     return out
 
 
+def _residuals(logits: np.ndarray, at: np.ndarray, n: int) -> float:
+    """Loss of the rows, whose targets are the flat places `at`; the logits become its gradient over n."""
+    flat = logits.ravel()
+    loss = -float(flat.take(at).sum(dtype=np.float64))
+    total, top = _exp_sums(logits)
+    loss += float(_log(total, top).sum(dtype=np.float64))
+    total *= n
+    logits *= (1 / total)[:, None]
+    flat[at] -= logits.dtype.type(1 / n)
+    return loss
+
+
 def gradients(m: dict, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss per token and its gradients."""
-    x, keys, values, q, raw, a, seen = _forward(m, inputs)
+    place = inputs.ravel()
+    x = m["e"].take(place, axis=0)
+    late = x.reshape(-1, 2, HALF, DIM)[:, 1].reshape(-1, DIM)
+    keys, values = (x @ m["k"]).reshape(-1, 2 * HALF, DIM), (x @ m["v"]).reshape(-1, 2 * HALF, DIM)
+    q = (late @ m["q"]).reshape(-1, HALF, DIM)
+    a, scale, inside = _attend(m, inputs, q, keys)
+    a *= scale
+    seen = (a @ values).reshape(-1, DIM)
+    seen += late
     t = targets.ravel()
-    rows = np.flatnonzero(t >= 0)
+    rows, group, member, parts, own = _by_class(t)
     n = max(1, len(rows))
-    y, slot = seen.reshape(-1, DIM)[rows], t[rows].astype(np.int64)
-    group, order, parts = _by_class(slot)
-    p = y @ m["c"]
-    p += m["cb"]
-    each = np.arange(len(rows))
-    loss = -float(p[each, group].sum(dtype=np.float64))
-    loss += float(_softmax(p, scaled=True).sum(dtype=np.float64))
-    p[each, group] -= 1
-    p /= n
-    g = {"c": y.T @ p, "cb": p.sum(axis=0), "u": np.zeros_like(m["u"]), "ub": np.zeros_like(m["ub"])}
-    d = p @ m["c"].T
-    y, member = y[order], slot[order] % SIDE
-    more = np.zeros_like(y)
+    y1 = np.ones((len(rows), DIM + 1), dtype=x.dtype)
+    y1[:, :DIM] = seen.take(rows, axis=0)
+    p = y1 @ _with_bias(m["c"], m["cb"])
+    loss = _residuals(p, np.arange(len(rows)) * (SIDE + 1) + group, n)
+    gc, d = (p.T @ y1).T, p @ np.ascontiguousarray(m["c"].T)
+    p, u = np.empty((own, SIDE), dtype=x.dtype), _with_bias(m["u"], m["ub"])
+    for k, first, last in parts:
+        np.matmul(y1[first:last], u[k], out=p[first:last])
+    loss += _residuals(p, np.arange(own) * SIDE + member[:own], n)
+    gu = np.zeros_like(u)
     for k, first, last in parts:
-        p = y[first:last] @ m["u"][k]
-        p += m["ub"][k]
-        own = (np.arange(last - first), member[first:last])
-        loss -= float(p[own].sum(dtype=np.float64))
-        loss += float(_softmax(p, scaled=True).sum(dtype=np.float64))
-        p[own] -= 1
-        p /= n
-        g["u"][k], g["ub"][k] = y[first:last].T @ p, p.sum(axis=0)
-        more[first:last] = p @ m["u"][k].T
-    d[order] += more
-    dy = np.zeros((len(t), DIM), dtype=y.dtype)
+        np.matmul(y1[first:last].T, p[first:last], out=gu[k])
+        d[first:last] += p[first:last] @ m["u"][k].T
+    g = {"c": gc[:DIM], "cb": gc[DIM], "u": gu[:, :DIM], "ub": gu[:, DIM]}
+    dy = np.zeros((len(t), DIM), dtype=x.dtype)
     dy[rows] = d
-    dy = dy.reshape(seen.shape)
-    da = dy @ values.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dy
+    wide = dy.reshape(-1, HALF, DIM)
+    da = wide @ values.transpose(0, 2, 1)
+    dv = (a.transpose(0, 2, 1) @ wide).reshape(-1, DIM)
     da *= a
-    da -= a * (da.reshape(-1, 2 * HALF) @ np.ones(2 * HALF, dtype=a.dtype)).reshape(a.shape[:2])[:, :, None]
+    a *= (da.reshape(-1, 2 * HALF) @ np.ones(2 * HALF, dtype=a.dtype)).reshape(a.shape[:2])[:, :, None]
+    da -= a
     g["r"] = da.sum(axis=0)
-    if np.abs(raw).max(initial=0) >= CLIP:
-        da *= np.abs(raw) < CLIP
-    dq, dk = da @ keys, da.transpose(0, 2, 1) @ q
-    dx = dk @ m["k"].T + dv @ m["v"].T
-    dx[:, HALF:] += dy + dq @ m["q"].T
-    outer = lambda l, r: l.reshape(-1, DIM).T @ r.reshape(-1, DIM)
-    g |= {"k": outer(x, dk), "v": outer(x, dv), "q": outer(x[:, HALF:], dq)}
-    place = (inputs.ravel().astype(np.int64) * DIM)[:, None] + np.arange(DIM)
-    g["e"] = np.bincount(place.ravel(), dx.ravel(), m["e"].size).reshape(m["e"].shape).astype(dx.dtype)
+    if inside is not None:
+        da *= inside
+    dk, dq = (da.transpose(0, 2, 1) @ q).reshape(-1, DIM), (da @ keys).reshape(-1, DIM)
+    dx = dk @ m["k"].T
+    dx += dv @ m["v"].T
+    dy += dq @ m["q"].T
+    dx.reshape(-1, 2, HALF, DIM)[:, 1] += dy.reshape(-1, HALF, DIM)
+    g |= {"k": x.T @ dk, "v": x.T @ dv, "q": late.T @ dq}
+    g["e"] = np.bincount(_flat.take(place, axis=0).ravel(), dx.ravel(), m["e"].size).reshape(m["e"].shape).astype(dx.dtype)
     return loss / n, g
 
 
@@ -192,13 +218,18 @@ class Adam:
     def step(self, m: dict, g: dict, scale: float = 1.0) -> None:
         self.n += 1
         rate = np.float32(self.rate * scale * np.sqrt(1 - 0.99**self.n) / (1 - 0.9**self.n))
-        for k in m:
+        for k in m:  # one and two are 10 and 100 times the usual means, which cancels out below
             one, two = self.one[k], self.two[k]
             one *= np.float32(0.9)
-            one += np.float32(0.1) * g[k]
+            one += g[k]
             two *= np.float32(0.99)
-            two += np.float32(0.01) * (g[k] * g[k])
-            m[k] -= rate * one / (np.sqrt(two) + np.float32(1e-8))
+            some = g[k] * g[k]
+            two += some
+            np.sqrt(two, out=some)
+            some += np.float32(1e-7)
+            np.divide(one, some, out=some)
+            some *= rate
+            m[k] -= some
 
 
 def pack_model(m: dict) -> bytes:

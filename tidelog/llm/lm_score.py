@@ -217,16 +217,14 @@ def score(docs: DataFrame, tokenizer_path: str, common_words: int = 300_000, **o
                 parts = [np.frombuffer(x, dtype="<u2") for x in some.column(2).to_pylist()]
                 out = []
                 for doc_id, low in zip(some.column(0).to_pylist(), some.column(1).cast(pa.binary()).to_pylist()):
-                    seen = Counter(low.split())
-                    x = np.array(list(map(logs.get, seen)), dtype=np.float64)  # nan: not a common word
-                    n = np.fromiter(seen.values(), dtype=np.int64, count=len(seen))
-                    odd = np.isnan(x)
+                    words = low.split()
+                    x = np.array(list(map(logs.get, words)), dtype=np.float64)  # nan: not a common word
+                    odd = np.flatnonzero(np.isnan(x))
                     x[odd] = 0
-                    base, known = end + float(x @ n), int(n_docs > 0) + int(n[~odd].sum())
-                    rare = [w for w, o in zip(seen, odd.tolist()) if o]
-                    rare = b" ".join(rare).decode().split(" ") if rare else []
-                    times = n[odd]
-                    out.append((row, doc_id, is_held_out(doc_id), sum(seen.values()) + 1, known, base, rare, times))
+                    base, known = end + float(x.sum()), int(n_docs > 0) + len(words) - len(odd)
+                    times = Counter(map(words.__getitem__, odd.tolist()))
+                    rare = b" ".join(times).decode().split(" ") if times else []
+                    out.append((row, doc_id, is_held_out(doc_id), len(words) + 1, known, base, rare, list(times.values())))
                     row += 1
                 inputs, targets, owner = A.windows([slots.of[p] for p in parts], slots.end)
                 value = np.bincount(owner, A.log_probs(model, inputs, targets), len(parts))
